@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldt.llm.common import bound_batches, texts
 
@@ -152,13 +153,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[float, Rule]]]:
     return float(b - (w * mean / scale).sum()), kept
 
 
-def compile_score(model: tuple[float, list[tuple[float, Rule]]]) -> Column:
+def compile_score(model: tuple[float, list[tuple[float, Rule]]], prefix: str = "") -> Column:
     """The ensemble as one column expression over STATS."""
     total = F.lit(model[0])
     for weight, rule in model[1]:
         test = F.lit(True)
         for j, low, cut in rule:
-            test = test & (F.col(STATS[j]) <= F.lit(cut) if low else F.col(STATS[j]) > F.lit(cut))
+            test = test & (F.col(prefix + STATS[j]) <= F.lit(cut) if low else F.col(prefix + STATS[j]) > F.lit(cut))
         total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
@@ -187,6 +188,20 @@ def score_table(df: DataFrame, model, key: str = "doc_id", text: str = "text") -
     return statistics(df, key, text).select("doc_id", compile_score(model).alias("score"))
 
 
+def scored(df: DataFrame, model, text: str = "text") -> DataFrame:
+    """df with a column __score, in place: no row moves and none is joined by its id. A null text counts as empty."""
+    bound_batches(df.sparkSession)
+    place = df.columns.index(text)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"__{s}", T.DoubleType()) for s in STATS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([describe(t.as_py() or "") for t in b.column(place)], np.float64).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(c)) for c in x.T]], [*b.schema.names, *[f"__{s}" for s in STATS]])
+
+    return df.mapInArrow(run, schema).withColumn("__score", compile_score(model, "__")).drop(*[f"__{s}" for s in STATS])
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
