@@ -23,42 +23,34 @@ RADIUS, SIMILAR = 3, 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Lines up to this many characters are compared by characters, pairs with a longer one by words.
 BY_CHARS = 1280
-#: Sixteen counters of 16 bits in each of four lanes: enough for lines of up to this many words.
-LANES, LANE_WORDS = 0x0001000100010001, 65535
+#: The lowest bit of either lane.
+LANES = 1 << 32 | 1
 
 
 def normalise(line: Column) -> Column:
-    """Lower case, every run of anything but letters, marks and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
+    """Lower case; every run of ASCII, Latin-1, general and CJK punctuation, white space and controls as one space."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-/:-@\[-`{-\u00bf\u2000-\u206f\u3000-\u303f]+", " "))
 
 
-def simhash(line: Column) -> Column:
-    """64 bits; bit b is 1 if over half of the words' hashes have it. Counts are kept sixteen bits to a lane."""
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(16)])
-
-    def add(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(LANES)).alias(f"c{j}") for j in range(16)])
-
-    def short(acc: Column, n: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for j in range(16):
-            for lane in range(4):
-                count = F.shiftrightunsigned(acc[f"c{j}"], 16 * lane).bitwiseAND(65535)
-                out = out.bitwiseOR(F.when(2 * count > n, F.lit(_signed(1 << (16 * lane + j)))).otherwise(F.lit(0).cast("long")))
-        return out
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
 
-    n = F.size(hashes)
-    counted = F.aggregate(hashes, zero, add, lambda acc: short(acc, n))
-    long = F.aggregate(
-        F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(2 * F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.call_function("shiftrightunsigned", h, b).bitwiseAND(1)) > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))),
-        F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(v),
-    )
-    return F.when(n <= LANE_WORDS, counted).otherwise(long)
 
+def hashed_lines(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, node: the line's hash and its SimHash, bit b of which is 1 if over half of the words' hashes have it.
 
-def _signed(n: int) -> int:
-    return n - (1 << 64) if n >> 63 else n
+    Words are exploded and counted where they are: sixty-four counters in thirty-two sums, two lanes of 32 bits to
+    a long, all in generated code; a line's partial sums cross the shuffle once, without its text.
+    """
+    words = lines.select("doc_id", "line_no", F.xxhash64("norm").alias("hash"), F.explode(F.split("norm", " ")).alias("w")).select("doc_id", "line_no", "hash", F.xxhash64("w").alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(LANES)).alias(f"c{j}") for j in range(32)]
+    counted = words.groupBy("doc_id", "line_no", "hash").agg(*sums, F.count(F.lit(1)).alias("n"))
+    sim = F.lit(0).cast("long")
+    for j in range(32):
+        for lane in (0, 1):
+            count = F.shiftrightunsigned(f"c{j}", 32 * lane).bitwiseAND((1 << 32) - 1)
+            sim = sim.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(_signed(1 << (32 * lane + j)))).otherwise(F.lit(0).cast("long")))
+    return counted.select("doc_id", "line_no", F.struct("hash", sim.alias("sim")).alias("node"))
 
 
 def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -132,8 +124,7 @@ def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     loses. An empty table stays empty.
     """
     lines = line_table(df, key, text)
-    node = F.struct(F.xxhash64("norm").alias("hash"), simhash(F.col("norm")).alias("sim"))
-    numbered = keep(lines.select("doc_id", "line_no", node.alias("node")))
+    numbered = keep(hashed_lines(lines))
     low = groups(lines, numbered)
     drops = numbered.join(low, "node").filter(F.struct("doc_id", "line_no") != F.col("low"))
     gone = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
