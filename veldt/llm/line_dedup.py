@@ -53,10 +53,13 @@ def hashed_lines(lines: DataFrame) -> DataFrame:
     return counted.select("doc_id", "line_no", F.struct("hash", sim.alias("sim")).alias("node"))
 
 
+def raw_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line_no", "line"))
+
+
 def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, line_no, norm for every line that has a letter or digit."""
-    lines = df.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", normalise(F.col("line")).alias("norm")).filter("norm <> ''")
+    return raw_lines(df, key, text).select("doc_id", "line_no", normalise(F.col("line")).alias("norm")).filter("norm <> ''")
 
 
 def comparable(norm: Column) -> list[Column]:
@@ -77,12 +80,12 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return both.filter(near).select("a", "b")
 
 
-def groups(lines: DataFrame, numbered: DataFrame) -> DataFrame:
+def groups(raw: DataFrame, numbered: DataFrame) -> DataFrame:
     """node, low: the distinct lines that occur twice or link to another, with their group's first occurrence.
 
-    lines: line_table; numbered: doc_id, line_no, node for the same rows, node being (hash, SimHash).
+    raw: raw_lines; numbered: doc_id, line_no, node of those with a letter or digit, node being (hash, SimHash).
     """
-    spark = lines.sparkSession
+    spark = raw.sparkSession
     nodes = keep(numbered.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
     sim = F.col("node.sim")
     block = [F.shiftrightunsigned(sim, low).bitwiseAND((1 << width) - 1) for low, width in BLOCKS]
@@ -95,7 +98,7 @@ def groups(lines: DataFrame, numbered: DataFrame) -> DataFrame:
     stars = met.filter((F.col("node") != F.col("pivot")) & (apart(F.col("node"), F.col("pivot")) <= RADIUS)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).union(met.filter("size > 2").select("node")).distinct()
     places = wanted.join(nodes, "node").select("node", "first.doc_id", "first.line_no")
-    held = keep(places.join(lines.select("doc_id", "line_no", *comparable(F.col("norm"))), ["doc_id", "line_no"]).select("node", "chars", "words").dropDuplicates(["node"]))
+    held = keep(places.join(raw, ["doc_id", "line_no"]).select("node", *comparable(normalise(F.col("line")))).dropDuplicates(["node"]))
     release_shuffles(spark)
     links = keep(verified(stars, held))
     named = keep(components(links))
@@ -125,7 +128,7 @@ def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     lines = line_table(df, key, text)
     numbered = keep(hashed_lines(lines))
-    low = groups(lines, numbered)
+    low = groups(raw_lines(df, key, text), numbered)
     drops = numbered.join(low, "node").filter(F.struct("doc_id", "line_no") != F.col("low"))
     gone = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     left = keep(gone)
