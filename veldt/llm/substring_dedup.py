@@ -95,7 +95,7 @@ def phrases(source: DataFrame) -> DataFrame:
     return source.filter("doc_id is not null and octet_length(text) >= 100").mapInArrow(run, PHRASE)
 
 
-def runs(starts: list[int]) -> Iterator[tuple[int, int]]:
+def runs(starts: set[int]) -> Iterator[tuple[int, int]]:
     """Byte spans covered by the strings that start at the given places, neighbours as one."""
     first = last = None
     for s in sorted(starts):
@@ -115,12 +115,13 @@ def repeats(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]
     Yields (doc_id, from, to) of what their strings repeat.
     """
     suffixes = sorted([(body[j : j + DEPTH], doc, start + j) for doc, start, body in rows for j in range(len(body) - DEPTH + 1)])
-    found: dict[int, list[int]] = {}
-    before = None
+    found: dict[int, set[int]] = {}
+    before, first = None, None
     for head, doc, at in suffixes:
-        if head == before:
-            found.setdefault(doc, []).append(at)
-        before = head
+        if head != before:
+            before, first = head, (doc, at)
+        elif (doc, at) != first:  # rows that share an id show the same place twice
+            found.setdefault(doc, set()).add(at)
     for doc, starts in found.items():
         for a, b in runs(starts):
             yield doc, a, b
