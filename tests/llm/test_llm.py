@@ -347,16 +347,20 @@ def edit(a, b):
     return row[-1]
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     r = random.Random(13)
     base = [words(r, 30) for _ in range(10)]
     near = [x.replace(" ", "  ", 2).upper() for x in base[:5]] + [" ".join([*x.split(" ")[:-1], "changed"]) for x in base] + [" ".join(["new", *x.split(" ")[1:]]) for x in base]
     rows = [(i, "\n".join(r.choice([*base, *near, words(r, 12), "", "--", "The."]) for _ in range(r.randint(0, 6)))) for i in range(40)]
     rows += [(50, None), (51, ""), (None, base[0]), (52, base[1]), (52, base[1]), (53, words(r, 900)), (54, "ñandú 日本\nñandú 日本")]
     frame = table(spark, rows)
-    lines = line_dedup.line_table(frame, "doc_id", "text")
-    nodes = line_dedup.hashed_lines(lines).select("doc_id", "line_no", "node.sim").join(lines, ["doc_id", "line_no"]).distinct().collect()
+    raw = line_dedup.raw_lines(frame, "doc_id", "text")
+    norms = raw.select("doc_id", "line_no", line_dedup.normalise(F.col("line")).alias("norm")).filter("norm <> ''")
+    nodes = line_dedup.hashed_lines(raw).select("doc_id", "line_no", "sim").join(norms, ["doc_id", "line_no"]).distinct().collect()
     assert all(x.sim & (1 << 64) - 1 == brute_line(spark, x.norm) for x in nodes[:20])
+    monkeypatch.setattr(line_dedup, "NARROW", 40)  # some lines now count in wide lanes
+    wide = line_dedup.hashed_lines(raw).select("doc_id", "line_no", "sim").distinct().collect()
+    assert sorted(wide) == sorted((x.doc_id, x.line_no, x.sim) for x in nodes)
     kinds = sorted({(x.norm, x.sim) for x in nodes})
     root = close(kinds, lambda a, b: ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 3 and edit(a[0], b[0]) <= 0.2 * max(len(a[0]), len(b[0])) + 1e-6)
     group = {n: c for (n, _), c in zip(kinds, root, strict=True)}

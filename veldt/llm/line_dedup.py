@@ -23,43 +23,48 @@ RADIUS, SIMILAR = 3, 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Lines up to this many characters are compared by characters, pairs with a longer one by words.
 BY_CHARS = 1280
-#: The lowest bit of either lane.
-LANES = 1 << 32 | 1
+#: Lines up to this many characters have under 2^14 words, which four lanes of 16 bits count; longer ones take two of 32.
+NARROW = 32_000
 
 
 def normalise(line: Column) -> Column:
-    """Lower case; every run of ASCII, Latin-1, general and CJK punctuation, white space and controls as one space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-/:-@\[-`{-\u00bf\u2000-\u206f\u3000-\u303f]+", " "))
+    """Lower case, white space and controls trimmed, runs of them as one space."""
+    low = F.lower(line)
+    return F.trim(F.when(low.rlike(r"[\x00-\x1f\x7f\u00a0\u2000-\u200b\u3000]|  "), F.regexp_replace(low, r"[\x00-\x20\x7f\u00a0\u2000-\u200b\u3000]+", " ")).otherwise(low))
 
 
-def _signed(n: int) -> int:
-    return n - (1 << 64) if n >> 63 else n
+def _counted(lines: DataFrame, lanes: int) -> DataFrame:
+    """doc_id, line_no, hash, sim of (doc_id, line_no, norm), with that many lanes to a long.
 
-
-def hashed_lines(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, node: the line's hash and its SimHash, bit b of which is 1 if over half of the words' hashes have it.
-
-    Words are exploded and counted where they are: sixty-four counters in thirty-two sums, two lanes of 32 bits to
-    a long, all in generated code; a line's partial sums cross the shuffle once, without its text.
+    Words are exploded and counted where they are, in generated code: 64 counters lie in 64 / lanes sums. In each
+    lane n + half - 2 x count keeps its top bit unless over half of the words have the bit.
     """
+    width = 64 // lanes
+    ones = sum(1 << width * k for k in range(lanes))
+    guards = ones << (width - 2)
     words = lines.select("doc_id", "line_no", F.xxhash64("norm").alias("hash"), F.explode(F.split("norm", " ")).alias("w")).select("doc_id", "line_no", "hash", F.xxhash64("w").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(LANES)).alias(f"c{j}") for j in range(32)]
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(ones)).alias(f"c{j}") for j in range(width)]
     counted = words.groupBy("doc_id", "line_no", "hash").agg(*sums, F.count(F.lit(1)).alias("n"))
+    room = F.col("n") * F.lit(ones) + F.lit(guards)
     sim = F.lit(0).cast("long")
-    for j in range(32):
-        for lane in (0, 1):
-            count = F.shiftrightunsigned(f"c{j}", 32 * lane).bitwiseAND((1 << 32) - 1)
-            sim = sim.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(_signed(1 << (32 * lane + j)))).otherwise(F.lit(0).cast("long")))
-    return counted.select("doc_id", "line_no", F.struct("hash", sim.alias("sim")).alias("node"))
+    for j in range(width):
+        over = F.shiftrightunsigned(F.bitwise_not(F.col("room") - F.col(f"c{j}") * 2), width - 2).bitwiseAND(ones)
+        sim = sim.bitwiseOR(F.shiftleft(over, j))
+    return counted.withColumn("room", room).select("doc_id", "line_no", "hash", sim.alias("sim"))
 
 
-def raw_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line_no", "line"))
+def hashed_lines(raw: DataFrame) -> DataFrame:
+    """doc_id, line_no, hash, sim of the lines (doc_id, line_no, line) that hold anything but white space.
+
+    A line is known by the 64-bit hash of its normal form. Bit b of sim is 1 if over half of its words' hashes have it.
+    """
+    size = F.length("line")
+    norm = lambda part: part.select("doc_id", "line_no", normalise(F.col("line")).alias("norm")).filter("norm <> ''")
+    return _counted(norm(raw.filter(size <= NARROW)), 4).union(_counted(norm(raw.filter(size > NARROW)), 2))
 
 
-def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, line_no, norm for every line that has a letter or digit."""
-    return raw_lines(df, key, text).select("doc_id", "line_no", normalise(F.col("line")).alias("norm")).filter("norm <> ''")
+def raw_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line_no", "line"))
 
 
 def comparable(norm: Column) -> list[Column]:
@@ -80,56 +85,64 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return both.filter(near).select("a", "b")
 
 
+def shards(nodes: DataFrame) -> DataFrame:
+    """hash, shard (an int): the ten pairs of blocks of each node's SimHash."""
+    block = [F.shiftrightunsigned("sim", low).bitwiseAND((1 << width) - 1) for low, width in BLOCKS]
+    keys = [F.lit(t << 26).bitwiseOR(F.shiftleft(block[x], 13)).bitwiseOR(block[y]).cast("int") for t, (x, y) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))]
+    return nodes.select("hash", F.explode(F.array(*keys)).alias("shard"))
+
+
 def groups(raw: DataFrame, numbered: DataFrame) -> DataFrame:
-    """node, low: the distinct lines that occur twice or link to another, with their group's first occurrence.
+    """hash, low: the lines that occur twice or link to another, with their group's first occurrence.
 
-    raw: raw_lines; numbered: doc_id, line_no, node of those with a letter or digit, node being (hash, SimHash).
+    raw: doc_id, line_no, line; numbered: its hashed_lines.
     """
     spark = raw.sparkSession
-    nodes = keep(numbered.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
-    sim = F.col("node.sim")
-    block = [F.shiftrightunsigned(sim, low).bitwiseAND((1 << width) - 1) for low, width in BLOCKS]
-    keys = [F.lit(t << 26).bitwiseOR(F.shiftleft(block[x], 13)).bitwiseOR(block[y]).cast("long") for t, (x, y) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))]
-    dealt = nodes.select("node", F.explode(F.array(*keys)).alias("shard"))
-    pivots = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1")
-    met = keep(dealt.join(pivots, "shard"))
+    nodes = keep(numbered.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")))
+    release_shuffles(spark)
+    dealt = shards(nodes)
+    shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = keep(dealt.join(shared.hint("shuffle_hash"), "shard").join(nodes.select("hash", "sim"), "hash").select("shard", "size", "hash", "sim"))
     release_shuffles(spark)
-    apart = lambda a, b: F.bit_count(a["sim"].bitwiseXOR(b["sim"]))
-    stars = met.filter((F.col("node") != F.col("pivot")) & (apart(F.col("node"), F.col("pivot")) <= RADIUS)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).union(met.filter("size > 2").select("node")).distinct()
-    places = wanted.join(nodes, "node").select("node", "first.doc_id", "first.line_no")
-    held = keep(places.join(raw, ["doc_id", "line_no"]).select("node", *comparable(normalise(F.col("line")))).dropDuplicates(["node"]))
+    pivots = met.groupBy("shard").agg(F.min("hash").alias("pivot"), F.min_by("sim", "hash").alias("pivot_sim"))
+    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    led = met.join(pivots, "shard")
+    stars = keep(led.filter((F.col("hash") != F.col("pivot")) & (apart("sim", "pivot_sim") <= RADIUS)).select(F.col("pivot").alias("a"), F.col("hash").alias("b")).distinct())
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("hash")).union(met.filter("size > 2").select("hash")).distinct()
+    places = wanted.join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
+    held = keep(places.join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *comparable(normalise(F.col("line")))).dropDuplicates(["node"]))
     release_shuffles(spark)
     links = keep(verified(stars, held))
     named = keep(components(links))
-    crowd = met.filter("size > 2").join(named, "node", "left").select("shard", "node", "pivot", F.coalesce("component", "node").alias("own"))
-    most = crowd.groupBy("shard", "own").count().groupBy("shard").agg(F.max(F.struct("count", "own")).alias("most")).select("shard", F.col("most.own").alias("main"))
-    split = crowd.join(most, "shard").filter("node <> pivot").withColumn("out", F.col("own") != F.col("main"))
-    left, right = split.filter("out").alias("l"), split.alias("r")
-    cross = left.join(right, (F.col("l.shard") == F.col("r.shard")) & (F.col("l.own") != F.col("r.own")) & (~F.col("r.out") | (F.col("l.node") < F.col("r.node"))) & (apart(F.col("l.node"), F.col("r.node")) <= RADIUS))
-    more = keep(verified(cross.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), held))
+    crowd = met.filter("size > 2").join(named, F.col("hash") == F.col("node"), "left").select("shard", "hash", "sim", F.coalesce("component", "hash").alias("own"))
+    most = crowd.groupBy("shard", "own").count().groupBy("shard").agg(F.max_by("own", "count").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    split = crowd.join(most, "shard").join(pivots, "shard").filter("hash <> pivot").withColumn("out", F.col("own") != F.col("main")).select("shard", "hash", "sim", "own", "out")
+    left, right = split.filter("out").select(F.col("shard").alias("l_shard"), *[F.col(c).alias(f"l_{c}") for c in ("hash", "sim", "own")]), split.select(F.col("shard").alias("r_shard"), *[F.col(c).alias(f"r_{c}") for c in ("hash", "sim", "own", "out")])
+    cross = left.join(right, (F.col("l_shard") == F.col("r_shard")) & (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & (apart("l_sim", "r_sim") <= RADIUS))
+    more = keep(verified(cross.select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b")).distinct(), held))
     if not more.isEmpty():
         named = keep(components(links.union(more)))
     release_shuffles(spark)
-    rooted = nodes.join(named, "node", "left")
-    alone = rooted.filter("component is null and n > 1").select("node", F.col("first").alias("low"))
-    joined = rooted.filter("component is not null").select("node", "first", "component")
+    rooted = nodes.join(named, F.col("hash") == F.col("node"), "left")
+    alone = rooted.filter("component is null and n > 1").select("hash", F.col("first").alias("low"))
+    joined = rooted.filter("component is not null").select("hash", "first", "component")
     least = joined.groupBy("component").agg(F.min("first").alias("low"))
-    return alone.union(joined.join(least, "component").select("node", "low"))
+    return alone.union(joined.join(least, "component").select("hash", "low"))
 
 
 def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with every line removed that repeats, or nearly repeats, a line earlier by (id, place).
 
-    Lines without a letter or digit stay. Columns, also others of any name, keep their order; rows keep their
+    Lines of white space alone stay. Columns, also others of any name, keep their order; rows keep their
     number: a text may lose all its lines and become empty. A null text stays null. Rows with a null id are
     left as they are and compared with nothing. Rows that share an id are one document: what one loses the other
     loses. An empty table stays empty.
     """
-    lines = line_table(df, key, text)
-    numbered = keep(hashed_lines(lines))
-    low = groups(raw_lines(df, key, text), numbered)
-    drops = numbered.join(low, "node").filter(F.struct("doc_id", "line_no") != F.col("low"))
+    raw = raw_lines(df, key, text)
+    numbered = keep(hashed_lines(raw))
+    release_shuffles(df.sparkSession)
+    low = groups(raw, numbered)
+    drops = numbered.join(low, "hash").filter(F.struct("doc_id", "line_no") != F.col("low"))
     gone = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     left = keep(gone)
     release_shuffles(df.sparkSession)
