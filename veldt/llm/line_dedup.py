@@ -36,13 +36,14 @@ def normalise(line: Column) -> Column:
 def _counted(lines: DataFrame, lanes: int) -> DataFrame:
     """doc_id, line_no, hash, sim of (doc_id, line_no, norm), with that many lanes to a long.
 
-    Words are exploded and counted where they are, in generated code: 64 counters lie in 64 / lanes sums. In each
+    Distinct words are exploded and counted where they are, in generated code: 64 counters lie in 64 / lanes sums.
+    (With repeats, one common word or a bar between columns would decide the bits of all its lines alike.) In each
     lane n + half - 2 x count keeps its top bit unless over half of the words have the bit.
     """
     width = 64 // lanes
     ones = sum(1 << width * k for k in range(lanes))
     guards = ones << (width - 2)
-    words = lines.select("doc_id", "line_no", F.xxhash64("norm").alias("hash"), F.explode(F.split("norm", " ")).alias("w")).select("doc_id", "line_no", "hash", F.xxhash64("w").alias("h"))
+    words = lines.select("doc_id", "line_no", F.xxhash64("norm").alias("hash"), F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("doc_id", "line_no", "hash", F.xxhash64("w").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(ones)).alias(f"c{j}") for j in range(width)]
     counted = words.groupBy("doc_id", "line_no", "hash").agg(*sums, F.count(F.lit(1)).alias("n"))
     room = F.col("n") * F.lit(ones) + F.lit(guards)
@@ -56,7 +57,7 @@ def _counted(lines: DataFrame, lanes: int) -> DataFrame:
 def hashed_lines(raw: DataFrame) -> DataFrame:
     """doc_id, line_no, hash, sim of the lines (doc_id, line_no, line) that hold anything but white space.
 
-    A line is known by the 64-bit hash of its normal form. Bit b of sim is 1 if over half of its words' hashes have it.
+    A line is known by the 64-bit hash of its normal form. Bit b of sim is 1 if over half of its distinct words' hashes have it.
     """
     size = F.length("line")
     norm = lambda part: part.select("doc_id", "line_no", normalise(F.col("line")).alias("norm")).filter("norm <> ''")
