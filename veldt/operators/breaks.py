@@ -7,7 +7,7 @@ year and one aggregation: no design matrix is built for a cell.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,16 +29,17 @@ def hinges(spark: SparkSession, first: int, last: int, margin: int) -> DataFrame
 def hinge_fits(series: DataFrame, first: int, last: int, margin: int = 5) -> DataFrame:
     """cell, sse0, tau, sse1, supf, slope_before, slope_after, direction_ok, tie_count of complete series; the earliest tau wins ties."""
     spark = series.sparkSession
-    n = last - first + 1
+    n, eps = last - first + 1, 2.220446049250313e-16
+    cell = Window.partitionBy("cell")
+    x = F.col("t") - (first + last) / 2
     full = series.filter(F.col("t").between(first, last) & F.col("v").isNotNull())
-    base = full.groupBy("cell").agg(F.count("v").alias("n"), F.regr_slope("v", "t").alias("b"), F.regr_syy("v", "t").alias("syy"), F.regr_sxy("v", "t").alias("sxy"), F.regr_sxx("v", "t").alias("sxx"), F.max(F.abs("v")).alias("top")).filter(F.col("n") == n)
-    base = base.withColumn("sse0", F.greatest(F.lit(0.0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")))
-    eps = 2.220446049250313e-16
-    base = base.withColumn("tol", F.greatest(100 * eps * F.col("syy"), n * F.pow(eps * F.greatest(F.lit(1.0), "top"), F.lit(2)) * 1000, F.lit(2.2250738585072014e-308)))
-    dots = full.join(F.broadcast(hinges(spark, first, last, margin)), "t").groupBy("cell", "tau").agg(F.sum(F.col("v") * F.col("h")).alias("yh"), F.first("hh").alias("hh"), F.first("proj").alias("proj"))
-    fits = dots.join(base, "cell").withColumn("sse1", F.greatest(F.lit(0.0), F.col("sse0") - F.col("yh") * F.col("yh") / F.col("hh"))).withColumn("step", F.col("yh") / F.col("hh"))
-    best = fits.groupBy("cell").agg(F.min("sse1").alias("best"))
-    tied = fits.join(best, "cell").filter(F.col("sse1") <= F.col("best") + F.col("tol"))
+    fitted = full.withColumn("n", F.count("v").over(cell)).withColumn("b", F.regr_slope("v", x).over(cell)).withColumn("mean", F.avg("v").over(cell)).withColumn("top", F.max(F.abs("v")).over(cell)).filter(F.col("n") == n)
+    rest = fitted.select("cell", "t", "b", "top", (F.col("v") - F.col("mean")).alias("dev"), (F.col("v") - F.col("mean") - F.col("b") * x).alias("r"))
+    r, h = F.col("r"), F.col("h")
+    dots = rest.join(F.broadcast(hinges(spark, first, last, margin)), "t").groupBy("cell", "tau").agg(F.sum(r * h).alias("yh"), F.sum(r * r).alias("sse0"), F.sum(F.col("dev") * F.col("dev")).alias("syy"), F.first("hh").alias("hh"), F.first("proj").alias("proj"), F.first("b").alias("b"), F.first("top").alias("top"))
+    fits = dots.withColumn("tol", F.greatest(100 * eps * F.col("syy"), n * F.pow(eps * F.greatest(F.lit(1.0), "top"), F.lit(2)) * 1000, F.lit(2.2250738585072014e-308)))
+    fits = fits.withColumn("sse1", F.greatest(F.lit(0.0), F.col("sse0") - F.col("yh") * F.col("yh") / F.col("hh"))).withColumn("step", F.col("yh") / F.col("hh"))
+    tied = fits.withColumn("best", F.min("sse1").over(cell)).filter(F.col("sse1") <= F.col("best") + F.col("tol"))
     pick = tied.groupBy("cell").agg(F.min_by(F.struct("tau", "sse1", "sse0", "tol", "step", "b", "proj"), "tau").alias("x"), F.count(F.lit(1)).alias("tie_count"))
     out = pick.select("cell", "x.*", "tie_count").withColumn("slope_before", F.col("b") - F.col("step") * F.col("proj")).withColumn("slope_after", F.col("slope_before") + F.col("step"))
     supf = F.when(F.col("sse0") <= F.col("tol"), F.lit(0.0)).when(F.col("sse1") <= F.col("tol"), F.lit(float("inf"))).otherwise((n - 3) * (F.col("sse0") - F.col("sse1")) / F.col("sse1"))

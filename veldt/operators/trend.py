@@ -62,5 +62,5 @@ def with_hamed_rao(df: DataFrame, digits: int = 9) -> DataFrame:
     lags = F.when((F.size("mid") >= 3) & (c0 > 0), F.transform(F.sequence(F.lit(1), F.size("mid") - 1), lambda k: F.struct(k.cast("double").alias("k"), lag(k).alias("r"))))
     big = F.filter(lags, lambda x: F.abs(x["r"]) > 1.96 / F.sqrt(n))
     extra = F.aggregate(big, F.lit(0.0), lambda acc, x: acc + (n - x["k"]) * (n - x["k"] - 1) * (n - x["k"] - 2) * x["r"])
-    out = out.withColumn("correction", F.greatest(F.lit(1e-6), 1 + 2 / (n * (n - 1) * (n - 2)) * F.coalesce(extra, F.lit(0.0)))).withColumn("var_hr", F.col("var_s") * F.col("correction"))
+    out = out.withColumn("correction", F.when(n >= 3, F.greatest(F.lit(1e-6), 1 + 2 / (n * (n - 1) * (n - 2)) * F.coalesce(extra, F.lit(0.0))))).withColumn("var_hr", F.col("var_s") * F.col("correction"))
     return with_p(out, "var_hr", "z_hr", "p_hr").drop("rest", "ranks", "mid")

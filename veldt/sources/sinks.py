@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def scaled_int(v: Column, scale: float, nodata: int = -9999) -> Column:
     """rint(v x scale) within 16 bits; a value that would read as missing moves up by one; null becomes missing."""
-    n = F.greatest(F.lit(-32768), F.least(F.lit(32767), F.rint(v * scale).cast("int")))
-    return F.coalesce(F.when(n == nodata, F.lit(nodata + 1)).otherwise(n), F.lit(nodata)).cast("short")
+    n = F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), F.rint(v * scale))).cast("int")
+    return F.when(v.isNull(), F.lit(nodata)).when(n == nodata, F.lit(nodata + 1)).otherwise(n).cast("short")
 
 
 def key_value(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
