@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.sources.shared import cut
+
 #: (dr, dc) of the kernels.
 ROOK = ((-1, 0), (1, 0), (0, -1), (0, 1))
 QUEEN = tuple((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0))
@@ -67,12 +69,12 @@ def patches(mask: DataFrame, rounds: int = 64) -> DataFrame:
     left; each round is checkpointed to the shared folder, and the loop ends when no label changes.
     """
     cells = mask.select("row", "col", F.struct("row", "col").alias("v"))
-    now = cells.checkpoint()
+    now = cut(cells)
     for _ in range(rounds):
         low = neighbours(now, QUEEN).groupBy("row", "col").agg(F.min("nv").alias("m"))
         met = now.join(low, ["row", "col"], "left").select("row", "col", "v", F.least("v", F.coalesce("m", "v")).alias("u"))
         jump = met.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("u").alias("w"))
-        after = met.join(jump, (F.col("u.row") == F.col("r")) & (F.col("u.col") == F.col("c"))).select("row", "col", F.col("v").alias("old"), F.least("u", "w").alias("v")).checkpoint()
+        after = cut(met.join(jump, (F.col("u.row") == F.col("r")) & (F.col("u.col") == F.col("c"))).select("row", "col", F.col("v").alias("old"), F.least("u", "w").alias("v")))
         changed = after.filter("old <> v").limit(1).count()
         now = after.select("row", "col", "v")
         if not changed:

@@ -12,7 +12,7 @@ from veldt.queries import query
 from veldt.sources.sinks import key_value, scaled_int
 from veldt.sources.tables import table
 
-one = F.lit(1)
+one = "*"
 
 
 @query("flt01_finite", "with x as (select event_id, event_type, case when event_id % 13 = 0 then null when event_id % 17 = 0 then -9999 else value end v from events) select event_type, count(*) n, count(*) filter (where v is not null and v <> -9999) kept from x group by 1")
@@ -258,23 +258,24 @@ def diagnostics(spark, d):
     return table(spark, d, "orders").agg(F.count(one).alias("n"), F.count("o_totalprice").alias("prices"), F.count_if(F.col("o_totalprice") > 100000).alias("high"), F.count(F.nullif("o_orderstatus", F.lit("P"))).alias("known"))
 
 
-W = Window.partitionBy("c_mktsegment")
+def by_segment():
+    return Window.partitionBy("c_mktsegment")
 
 
 @query("win01_avg_rank", "select c_custkey, rank() over (partition by c_mktsegment order by floor(c_acctbal/100)) + (count(*) over (partition by c_mktsegment, floor(c_acctbal/100)) - 1)/2e0 r from customer")
 def avg_rank(spark, d):
     c = table(spark, d, "customer").withColumn("v", F.floor(F.col("c_acctbal") / 100))
-    return c.select("c_custkey", (F.rank().over(W.orderBy("v")) + (F.count(one).over(Window.partitionBy("c_mktsegment", "v")) - 1) / 2).alias("r"))
+    return c.select("c_custkey", (F.rank().over(by_segment().orderBy("v")) + (F.count(one).over(Window.partitionBy("c_mktsegment", "v")) - 1) / 2).alias("r"))
 
 
 @query("win04_cummin", "select c_custkey, min(c_acctbal) over (partition by c_mktsegment order by c_custkey desc rows unbounded preceding) m from customer")
 def cummin(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.min("c_acctbal").over(W.orderBy(F.desc("c_custkey")).rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    return table(spark, d, "customer").select("c_custkey", F.min("c_acctbal").over(by_segment().orderBy(F.desc("c_custkey")).rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
 
 
 @query("win05_cummax", "select c_custkey, max(c_acctbal) over (partition by c_mktsegment order by c_custkey rows unbounded preceding) m from customer")
 def cummax(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.max("c_acctbal").over(W.orderBy("c_custkey").rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    return table(spark, d, "customer").select("c_custkey", F.max("c_acctbal").over(by_segment().orderBy("c_custkey").rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
 
 
 @query("win06_cumcount", "with k as (select l_quantity::int q, count(*) n from lineitem group by 1) select q, n, sum(n) over (order by q)::bigint cum from k")
