@@ -347,7 +347,9 @@ def edit(a, b):
     return row[-1]
 
 
-def test_line_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("small", [8, 1])
+def test_line_dedup(spark, monkeypatch, small):
+    monkeypatch.setattr(line_dedup, "SMALL", small)
     r = random.Random(13)
     base = [words(r, 30) for _ in range(10)]
     near = [x.replace(" ", "  ", 2).upper() for x in base[:5]] + [" ".join([*x.split(" ")[:-1], "changed"]) for x in base] + [" ".join(["new", *x.split(" ")[1:]]) for x in base]

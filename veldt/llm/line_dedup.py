@@ -4,9 +4,9 @@ Lines are normalised and get a SimHash over their words. Lines whose hashes diff
 one of ten pairs of pigeonhole blocks; those pairs are verified by edit similarity, verified pairs close into
 groups, and of each group only the first occurrence stays.
 
-In a block, every line is first compared with one pivot. Once those links have closed, only lines outside a
-block's largest group are compared with the others, so that a block in which thousands of lines are alike costs
-a comparison a line, not one a pair, and no link between different groups is lost.
+In a small block all lines are compared. In a large one every line is first compared with one pivot; once those
+links have closed, only lines outside the block's largest group are compared with the others, so that a block in
+which thousands of lines are alike costs a comparison a line, not one a pair, and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -16,21 +16,25 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import keep, release_shuffles
+from veldt.llm.common import drop_kept, keep, release_shuffles
 from veldt.llm.graph import components
 
 RADIUS, SIMILAR = 3, 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Lines up to this many characters are compared by characters, pairs with a longer one by words.
 BY_CHARS = 1280
+#: Lines of a shard that are compared pair by pair; larger shards are led by a pivot.
+SMALL = 8
 #: Lines up to this many characters have under 2^14 words, which four lanes of 16 bits count; longer ones take two of 32.
 NARROW = 32_000
 
 
 def normalise(line: Column) -> Column:
-    """Lower case, white space and controls trimmed, runs of them as one space."""
-    low = F.lower(line)
-    return F.trim(F.when(low.rlike(r"[\x00-\x1f\x7f\u00a0\u2000-\u200b\u3000]|  "), F.regexp_replace(low, r"[\x00-\x20\x7f\u00a0\u2000-\u200b\u3000]+", " ")).otherwise(low))
+    """Lower case; spaces trimmed; in lines with tabs, returns, double or hard spaces, all runs of white space as one space."""
+    low, odd = F.lower(line), F.lit(False)
+    for mark in ("  ", "\t", "\r", "\u00a0"):  # plain searches first: few lines need the pattern
+        odd = odd | F.contains(line, F.lit(mark))
+    return F.trim(F.when(odd, F.regexp_replace(low, r"[\x00-\x20\x7f\u00a0\u2000-\u200b\u3000]+", " ")).otherwise(low))
 
 
 def _counted(lines: DataFrame, lanes: int) -> DataFrame:
@@ -105,17 +109,21 @@ def groups(raw: DataFrame, numbered: DataFrame) -> DataFrame:
     shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = keep(dealt.join(shared.hint("shuffle_hash"), "shard").join(nodes.select("hash", "sim"), "hash").select("shard", "size", "hash", "sim"))
     release_shuffles(spark)
-    pivots = met.groupBy("shard").agg(F.min("hash").alias("pivot"), F.min_by("sim", "hash").alias("pivot_sim"))
     apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    led = met.join(pivots, "shard")
-    stars = keep(led.filter((F.col("hash") != F.col("pivot")) & (apart("sim", "pivot_sim") <= RADIUS)).select(F.col("pivot").alias("a"), F.col("hash").alias("b")).distinct())
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("hash")).union(met.filter("size > 2").select("hash")).distinct()
+    few, many = met.filter(F.col("size") <= SMALL), met.filter(F.col("size") > SMALL)
+    other = few.select("shard", F.col("hash").alias("b"), F.col("sim").alias("b_sim"))
+    close = few.join(other.withColumnRenamed("shard", "b_shard"), (F.col("shard") == F.col("b_shard")) & (F.col("hash") < F.col("b")) & (apart("sim", "b_sim") <= RADIUS)).select(F.col("hash").alias("a"), "b")
+    pivots = many.groupBy("shard").agg(F.min("hash").alias("pivot"), F.min_by("sim", "hash").alias("pivot_sim"))
+    led = many.join(pivots, "shard").filter((F.col("hash") != F.col("pivot")) & (apart("sim", "pivot_sim") <= RADIUS)).select(F.col("pivot").alias("a"), F.col("hash").alias("b"))
+    stars = keep(close.union(led).distinct())
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("hash")).union(many.select("hash")).distinct()
     places = wanted.join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
-    held = keep(places.join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *comparable(normalise(F.col("line")))).dropDuplicates(["node"]))
+    release_shuffles(spark)
+    held = keep(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *comparable(normalise(F.col("line")))).dropDuplicates(["node"]))
     release_shuffles(spark)
     links = keep(verified(stars, held))
     named = keep(components(links))
-    crowd = met.filter("size > 2").join(named, F.col("hash") == F.col("node"), "left").select("shard", "hash", "sim", F.coalesce("component", "hash").alias("own"))
+    crowd = many.join(named, F.col("hash") == F.col("node"), "left").select("shard", "hash", "sim", F.coalesce("component", "hash").alias("own"))
     most = crowd.groupBy("shard", "own").count().groupBy("shard").agg(F.max_by("own", "count").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     split = crowd.join(most, "shard").join(pivots, "shard").filter("hash <> pivot").withColumn("out", F.col("own") != F.col("main")).select("shard", "hash", "sim", "own", "out")
     left, right = split.filter("out").select(F.col("shard").alias("l_shard"), *[F.col(c).alias(f"l_{c}") for c in ("hash", "sim", "own")]), split.select(F.col("shard").alias("r_shard"), *[F.col(c).alias(f"r_{c}") for c in ("hash", "sim", "own", "out")])
@@ -123,6 +131,8 @@ def groups(raw: DataFrame, numbered: DataFrame) -> DataFrame:
     more = keep(verified(cross.select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b")).distinct(), held))
     if not more.isEmpty():
         named = keep(components(links.union(more)))
+    for done in (met, held, stars):
+        drop_kept(done)
     release_shuffles(spark)
     rooted = nodes.join(named, F.col("hash") == F.col("node"), "left")
     alone = rooted.filter("component is null and n > 1").select("hash", F.col("first").alias("low"))
@@ -146,6 +156,7 @@ def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     drops = numbered.join(low, "hash").filter(F.struct("doc_id", "line_no") != F.col("low"))
     gone = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     left = keep(gone)
+    drop_kept(numbered)
     release_shuffles(df.sparkSession)
     body = F.col(f"`{text}`")
     kept = F.array_join(F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
