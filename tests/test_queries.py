@@ -1,4 +1,4 @@
-"""Every query with SQL gives the SQL's rows on the smallest tables."""
+"""Every query with SQL gives the rows of its SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pytest
 
 from veldt.queries import QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
