@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
 import itertools
 import random
@@ -382,6 +383,31 @@ def test_line_dedup(spark, monkeypatch, small):
     assert line_dedup.fuzzy_line_dedup(table(spark, [])).count() == 0
 
 
+def test_line_dedup_whole(spark):
+    """Brute force by edit similarity alone, with no gate before it."""
+    r = random.Random(23)
+    rows, n = [], 0
+    for size in (4, 6, 9, 14, 20, 40):
+        for _ in range(8):
+            w = words(r, size).split(" ")
+            rows.append((n, " ".join(w)))
+            for _ in range(3):
+                v = list(w)
+                for k in r.sample(range(size), max(1, size // 12)):
+                    v[k] = words(r, 1)
+                rows.append((n := n + 1, " ".join(v)))
+            n += 1
+    rows += [(9000, "日本語の文章はここにありますとても長い文"), (9001, "日本語の文章はここにありますとても短い文")]
+    texts = [t for _, t in rows]
+    bags = {t: collections.Counter(t) for t in texts}
+    unlike = lambda a, b: max((bags[a] - bags[b]).total(), (bags[b] - bags[a]).total())  # noqa: E731  never above the edit distance
+    root = close(texts, lambda a, b: unlike(a, b) <= (k := 0.2 * max(len(a), len(b)) + 1e-6) and edit(a, b) <= k)
+    want = {i for k, (i, _) in enumerate(rows) if root[k] == k}
+    got = {x.doc_id for x in line_dedup.fuzzy_line_dedup(table(spark, rows), whole=True).filter("text <> ''").collect()}
+    assert want <= got and len(rows) - len(got) >= 0.97 * (len(rows) - len(want))
+    assert line_dedup.fuzzy_line_dedup(table(spark, []), whole=True).count() == 0
+
+
 def brute_line(spark, norm):
     h = [x.h & (1 << 64) - 1 for x in spark.createDataFrame([(w,) for w in dict.fromkeys(norm.split(" "))], "w string").select(F.xxhash64("w").alias("h")).collect()]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))

@@ -1,8 +1,9 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
-Lines are normalised and get a SimHash over their words. Lines whose hashes differ in at most three bits meet in
-one of ten pairs of pigeonhole blocks; those pairs are verified by edit similarity, verified pairs close into
-groups, and of each group only the first occurrence stays.
+Lines are normalised and meet if they share one of sixteen bands of five least hashes of their words (lines of few
+words also of their pairs of characters); those pairs are verified by edit similarity, verified pairs close into
+groups, and of each group only the first occurrence stays. Without ``whole``, lines meet only where SimHashes over
+their words differ in at most three bits, which leaves most similar lines uncompared.
 
 In a small block all lines are compared. In a large one every line is first compared with one pivot; once those
 links have closed, only lines outside the block's largest group are compared with the others, so that a block in
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,14 @@ BY_CHARS = 1280
 SMALL = 8
 #: Lines up to this many characters have under 2^14 words, which four lanes of 16 bits count; longer ones take two of 32.
 NARROW = 32_000
+#: Least hashes of a line, and those that each band takes: every one serves two or three bands.
+LEAST = 32
+BANDS = tuple(tuple((b * 2 + k * step) % LEAST for k, step in enumerate((0, 5, 11, 18, 23))) for b in range(LEAST // 2))
+MASKS = np.random.default_rng(10).integers(-(1 << 31), 1 << 31, LEAST).tolist()
+#: Lines of fewer words also meet by pairs of characters.
+FEW = 10
+#: Of the least hashes' last two bits, how many may differ for a pair to be verified: by words, by characters.
+UNLIKE = (14, 20)
 
 
 def normalise(line: Column) -> Column:
@@ -68,12 +78,41 @@ def hashed_lines(raw: DataFrame) -> DataFrame:
     return _counted(norm(raw.filter(size <= NARROW)), 4).union(_counted(norm(raw.filter(size > NARROW)), 2))
 
 
+def _least(lines: DataFrame, kind: int) -> DataFrame:
+    """doc_id, line_no, hash, kind, sim, k0 ... of (doc_id, line_no, hash, ws): two bits of each least hash, and a hash of each band.
+
+    A least hash is the smallest of one half of the parts' hashes, its bits turned over by a mask.
+    """
+    parts = lines.select("doc_id", "line_no", "hash", F.explode("ws").alias("w")).select("doc_id", "line_no", "hash", F.xxhash64("w").alias("h"))
+    parts = parts.select("doc_id", "line_no", "hash", F.shiftright("h", 32).cast("int").alias("h0"), F.shiftright(F.shiftleft("h", 32), 32).cast("int").alias("h1"))
+    found = parts.groupBy("doc_id", "line_no", "hash").agg(*[F.min(F.col(f"h{i % 2}").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)])
+    sim = F.lit(0).cast("long")
+    for i in range(LEAST):
+        sim = sim.bitwiseOR(F.shiftleft(F.hash(f"m{i}").cast("long").bitwiseAND(3), 2 * i))
+    return found.select("doc_id", "line_no", "hash", F.lit(kind).alias("kind"), sim.alias("sim"), *[F.hash(*[f"m{i}" for i in band]).alias(f"k{b}") for b, band in enumerate(BANDS)])
+
+
+def banded_lines(raw: DataFrame) -> DataFrame:
+    """doc_id, line_no, hash, kind, sim, k0 ... of the lines that hold anything but white space.
+
+    Kind 0 is by words, for every line; kind 1 by pairs of characters, for lines of fewer than FEW words.
+    """
+    norm = raw.select("doc_id", "line_no", normalise(F.col("line")).alias("norm")).filter("norm <> ''").select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("hash"))
+    by_words = norm.select("doc_id", "line_no", "hash", F.split("norm", " ").alias("ws"))
+    chars = F.split("norm", "")
+    pairs = F.transform(chars, lambda c, i: F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit(""))))
+    by_chars = norm.filter(F.size(F.split("norm", " ", FEW)) < FEW).select("doc_id", "line_no", "hash", pairs.alias("ws"))
+    return _least(by_words, 0).union(_least(by_chars, 1))
+
+
 def raw_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line_no", "line"))
 
 
-def comparable(norm: Column) -> list[Column]:
-    """The line by characters if it is short, and as a letter a word if it is long."""
+def comparable(norm: Column, whole: bool = False) -> list[Column]:
+    """The line by characters if it is short, and as a letter a word if it is long; by characters at any length if ``whole``."""
+    if whole:
+        return [norm.alias("chars"), F.lit(None).cast("string").alias("words")]
     n = F.length(norm)
     spelled = F.array_join(F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD800))), 4, "0")), "")
     return [F.when(n <= BY_CHARS, norm).alias("chars"), F.when(n >= int(BY_CHARS * SIMILAR), F.decode(F.unhex(spelled), "UTF-16BE")).alias("words")]
@@ -97,29 +136,56 @@ def shards(nodes: DataFrame) -> DataFrame:
     return nodes.select("hash", F.explode(F.array(*keys)).alias("shard"))
 
 
-def groups(raw: DataFrame, numbered: DataFrame) -> DataFrame:
+def met_in_bands(numbered: DataFrame) -> DataFrame:
+    """shard, size, hash, sim of lines that share a band with another; a few bands at a time, so that little lies on disk."""
+    cards = keep(numbered.groupBy("hash", "kind").agg(F.min("sim").alias("sim"), *[F.min(f"k{b}").alias(f"k{b}") for b in range(len(BANDS))]))
+    release_shuffles(numbered.sparkSession)
+    met = None
+    for at in range(0, len(BANDS), 4):
+        keys = [F.shiftleft(F.col("kind").cast("long") * len(BANDS) + b, 32).bitwiseOR(F.col(f"k{b}").cast("long").bitwiseAND((1 << 32) - 1)) for b in range(at, at + 4)]
+        dealt = cards.select("hash", "sim", F.explode(F.array(*keys)).alias("shard"))
+        shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        some = keep(dealt.join(shared.hint("shuffle_hash"), "shard").select("shard", "size", "hash", "sim"))
+        met = some if met is None else met.union(some)
+        release_shuffles(numbered.sparkSession)
+    drop_kept(cards)
+    return met
+
+
+def groups(raw: DataFrame, numbered: DataFrame, whole: bool = False) -> DataFrame:
     """hash, low: the lines that occur twice or link to another, with their group's first occurrence.
 
-    raw: doc_id, line_no, line; numbered: its hashed_lines.
+    raw: doc_id, line_no, line; numbered: its hashed_lines, or its banded_lines if ``whole``.
     """
     spark = raw.sparkSession
-    nodes = keep(numbered.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")))
+    lines = numbered.filter("kind = 0") if whole else numbered
+    nodes = keep(lines.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")))
     release_shuffles(spark)
-    dealt = shards(nodes)
-    shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = keep(dealt.join(shared.hint("shuffle_hash"), "shard").join(nodes.select("hash", "sim"), "hash").select("shard", "size", "hash", "sim"))
+    if whole:
+        met = met_in_bands(numbered)
+    else:
+        dealt = shards(nodes)
+        shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        met = keep(dealt.join(shared.hint("shuffle_hash"), "shard").join(nodes.select("hash", "sim"), "hash").select("shard", "size", "hash", "sim"))
     release_shuffles(spark)
-    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+    def near(shard: str, a: str, b: str) -> Column:
+        x = F.col(a).bitwiseXOR(F.col(b))
+        if not whole:
+            return F.bit_count(x) <= RADIUS
+        unlike = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(sum(1 << 2 * i for i in range(LEAST))))
+        return unlike <= F.when(F.col(shard) < len(BANDS) << 32, UNLIKE[0]).otherwise(UNLIKE[1])
+
     few, many = met.filter(F.col("size") <= SMALL), met.filter(F.col("size") > SMALL)
     other = few.select("shard", F.col("hash").alias("b"), F.col("sim").alias("b_sim"))
-    close = few.join(other.withColumnRenamed("shard", "b_shard"), (F.col("shard") == F.col("b_shard")) & (F.col("hash") < F.col("b")) & (apart("sim", "b_sim") <= RADIUS)).select(F.col("hash").alias("a"), "b")
+    close = few.join(other.withColumnRenamed("shard", "b_shard"), (F.col("shard") == F.col("b_shard")) & (F.col("hash") < F.col("b")) & near("shard", "sim", "b_sim")).select(F.col("hash").alias("a"), "b")
     pivots = many.groupBy("shard").agg(F.min("hash").alias("pivot"), F.min_by("sim", "hash").alias("pivot_sim"))
-    led = many.join(pivots, "shard").filter((F.col("hash") != F.col("pivot")) & (apart("sim", "pivot_sim") <= RADIUS)).select(F.col("pivot").alias("a"), F.col("hash").alias("b"))
+    led = many.join(pivots, "shard").filter((F.col("hash") != F.col("pivot")) & near("shard", "sim", "pivot_sim")).select(F.col("pivot").alias("a"), F.col("hash").alias("b"))
     stars = keep(close.union(led).distinct())
     wanted = stars.select(F.explode(F.array("a", "b")).alias("hash")).union(many.select("hash")).distinct()
     places = wanted.join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
     release_shuffles(spark)
-    held = keep(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *comparable(normalise(F.col("line")))).dropDuplicates(["node"]))
+    held = keep(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *comparable(normalise(F.col("line")), whole)).dropDuplicates(["node"]))
     release_shuffles(spark)
     links = keep(verified(stars, held))
     named = keep(components(links))
@@ -127,7 +193,7 @@ def groups(raw: DataFrame, numbered: DataFrame) -> DataFrame:
     most = crowd.groupBy("shard", "own").count().groupBy("shard").agg(F.max_by("own", "count").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     split = crowd.join(most, "shard").join(pivots, "shard").filter("hash <> pivot").withColumn("out", F.col("own") != F.col("main")).select("shard", "hash", "sim", "own", "out")
     left, right = split.filter("out").select(F.col("shard").alias("l_shard"), *[F.col(c).alias(f"l_{c}") for c in ("hash", "sim", "own")]), split.select(F.col("shard").alias("r_shard"), *[F.col(c).alias(f"r_{c}") for c in ("hash", "sim", "own", "out")])
-    cross = left.join(right, (F.col("l_shard") == F.col("r_shard")) & (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & (apart("l_sim", "r_sim") <= RADIUS))
+    cross = left.join(right, (F.col("l_shard") == F.col("r_shard")) & (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & near("l_shard", "l_sim", "r_sim"))
     more = keep(verified(cross.select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b")).distinct(), held))
     if not more.isEmpty():
         named = keep(components(links.union(more)))
@@ -141,19 +207,19 @@ def groups(raw: DataFrame, numbered: DataFrame) -> DataFrame:
     return alone.union(joined.join(least, "component").select("hash", "low"))
 
 
-def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """df with every line removed that repeats, or nearly repeats, a line earlier by (id, place).
 
     Lines of white space alone stay. Columns, also others of any name, keep their order; rows keep their
     number: a text may lose all its lines and become empty. A null text stays null. Rows with a null id are
     left as they are and compared with nothing. Rows that share an id are one document: what one loses the other
-    loses. An empty table stays empty.
+    loses. An empty table stays empty. ``whole`` compares all lines that share a band, else those within RADIUS bits.
     """
     raw = raw_lines(df, key, text)
-    numbered = keep(hashed_lines(raw))
+    numbered = keep(banded_lines(raw) if whole else hashed_lines(raw))
     release_shuffles(df.sparkSession)
-    low = groups(raw, numbered)
-    drops = numbered.join(low, "hash").filter(F.struct("doc_id", "line_no") != F.col("low"))
+    low = groups(raw, numbered, whole)
+    drops = (numbered.filter("kind = 0") if whole else numbered).join(low, "hash").filter(F.struct("doc_id", "line_no") != F.col("low"))
     gone = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     left = keep(gone)
     drop_kept(numbered)
@@ -167,5 +233,5 @@ def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    after = fuzzy_line_dedup(docs)
+    after = fuzzy_line_dedup(docs, whole=True)
     return after.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
