@@ -408,6 +408,14 @@ def test_line_dedup_whole(spark):
     assert line_dedup.fuzzy_line_dedup(table(spark, []), whole=True).count() == 0
 
 
+def test_line_normal_form(spark):
+    same = ["Hello, world! Well", "hello world well", "Hello\u3000world\u2003well", "hello\x01world \u200b well", "(hello) world: well."]
+    rows = [*enumerate(same), (10, "--"), (11, " --\t"), (12, "**"), (13, "\u3000 \t"), (14, "\u2003")]
+    got = {x.doc_id: x.norm for x in table(spark, rows).select("doc_id", line_dedup.normalise(F.col("text")).alias("norm")).collect()}
+    assert {got[i] for i in range(5)} == {"hello world well"}
+    assert [got[i] for i in range(10, 15)] == ["--", "--", "**", "", ""]
+
+
 def brute_line(spark, norm):
     h = [x.h & (1 << 64) - 1 for x in spark.createDataFrame([(w,) for w in dict.fromkeys(norm.split(" "))], "w string").select(F.xxhash64("w").alias("h")).collect()]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))

@@ -40,11 +40,13 @@ UNLIKE = (14, 20)
 
 
 def normalise(line: Column) -> Column:
-    """Lower case; spaces trimmed; in lines with tabs, returns, double or hard spaces, all runs of white space as one space."""
-    low, odd = F.lower(line), F.lit(False)
-    for mark in ("  ", "\t", "\r", "\u00a0"):  # plain searches first: few lines need the pattern
-        odd = odd | F.contains(line, F.lit(mark))
-    return F.trim(F.when(odd, F.regexp_replace(low, r"[\x00-\x20\x7f\u00a0\u2000-\u200b\u3000]+", " ")).otherwise(low))
+    """Lower case; every run of ASCII, Latin-1, general and CJK punctuation, white space and controls as one space, none at the ends.
+
+    A line of such marks alone keeps those that are not white space.
+    """
+    low = F.lower(line)
+    plain = F.trim(F.regexp_replace(low, r"[\x00-/:-@\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]+", " "))
+    return F.when(plain != "", plain).otherwise(F.trim(F.regexp_replace(low, r"[\x00-\x20\x7f\u00a0\u2000-\u200b\u3000]+", " ")))
 
 
 def _counted(lines: DataFrame, lanes: int) -> DataFrame:
