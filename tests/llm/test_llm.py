@@ -421,6 +421,31 @@ def brute_line(spark, norm):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_near_duplicate_stage(spark):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    rows = []
+    for k in range(25):
+        w = words(r, 150).split(" ")
+        rows.append((k * 10, " ".join(w)))
+        for j in range(1, 4):
+            v = list(w)
+            for at in range(j):  # each changed word takes five runs
+                v[20 + 40 * at] = words(r, 1) + "zz"
+            rows.append((k * 10 + j, " ".join(v)))
+        v = list(w)
+        v[::9] = ["new"] * len(v[::9])
+        rows.append((k * 10 + 5, " ".join(v)))
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (None, rows[0][1]), (904, rows[0][1]), (904, words(r, 50))]
+    runs = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    root = close(list(enumerate(runs)), lambda a, b: rows[a[0]][0] is not None and rows[b[0]][0] is not None and len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
+    want = {i for k, (i, _) in enumerate(rows) if root[k] == k}
+    frame = table(spark, rows)
+    assert {x.doc_id for x in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()} == want
+    assert corpus_pipeline.near_duplicate_stage(spark, table(spark, []), "").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -12,6 +12,7 @@ which thousands of lines are alike costs a comparison a line, not one a pair, an
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -80,7 +81,7 @@ def hashed_lines(raw: DataFrame) -> DataFrame:
     return _counted(norm(raw.filter(size <= NARROW)), 4).union(_counted(norm(raw.filter(size > NARROW)), 2))
 
 
-def _least(lines: DataFrame, kind: int) -> DataFrame:
+def least_hashes(lines: DataFrame, kind: int) -> DataFrame:
     """doc_id, line_no, hash, kind, sim, k0 ... of (doc_id, line_no, hash, ws): two bits of each least hash, and a hash of each band.
 
     A least hash is the smallest of one half of the parts' hashes, its bits turned over by a mask.
@@ -104,7 +105,7 @@ def banded_lines(raw: DataFrame) -> DataFrame:
     chars = F.split("norm", "")
     pairs = F.transform(chars, lambda c, i: F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit(""))))
     by_chars = norm.filter(F.size(F.split("norm", " ", FEW)) < FEW).select("doc_id", "line_no", "hash", pairs.alias("ws"))
-    return _least(by_words, 0).union(_least(by_chars, 1))
+    return least_hashes(by_words, 0).union(least_hashes(by_chars, 1))
 
 
 def raw_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -154,12 +155,14 @@ def met_in_bands(numbered: DataFrame) -> DataFrame:
     return met
 
 
-def groups(raw: DataFrame, numbered: DataFrame, whole: bool = False) -> DataFrame:
+def groups(raw: DataFrame, numbered: DataFrame, whole: bool = False, hold: Callable[[Column], list[Column]] | None = None, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """hash, low: the lines that occur twice or link to another, with their group's first occurrence.
 
     raw: doc_id, line_no, line; numbered: its hashed_lines, or its banded_lines if ``whole``.
+    hold: what a comparison needs of a line, here its normal form; check: the pairs (a, b) of nodes that are alike.
     """
     spark = raw.sparkSession
+    hold, check = hold or (lambda line: comparable(normalise(line), whole)), check or verified
     lines = numbered.filter("kind = 0") if whole else numbered
     nodes = keep(lines.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")))
     release_shuffles(spark)
@@ -187,16 +190,16 @@ def groups(raw: DataFrame, numbered: DataFrame, whole: bool = False) -> DataFram
     wanted = stars.select(F.explode(F.array("a", "b")).alias("hash")).union(many.select("hash")).distinct()
     places = wanted.join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
     release_shuffles(spark)
-    held = keep(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *comparable(normalise(F.col("line")), whole)).dropDuplicates(["node"]))
+    held = keep(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *hold(F.col("line"))).dropDuplicates(["node"]))
     release_shuffles(spark)
-    links = keep(verified(stars, held))
+    links = keep(check(stars, held))
     named = keep(components(links))
     crowd = many.join(named, F.col("hash") == F.col("node"), "left").select("shard", "hash", "sim", F.coalesce("component", "hash").alias("own"))
     most = crowd.groupBy("shard", "own").count().groupBy("shard").agg(F.max_by("own", "count").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     split = crowd.join(most, "shard").join(pivots, "shard").filter("hash <> pivot").withColumn("out", F.col("own") != F.col("main")).select("shard", "hash", "sim", "own", "out")
     left, right = split.filter("out").select(F.col("shard").alias("l_shard"), *[F.col(c).alias(f"l_{c}") for c in ("hash", "sim", "own")]), split.select(F.col("shard").alias("r_shard"), *[F.col(c).alias(f"r_{c}") for c in ("hash", "sim", "own", "out")])
     cross = left.join(right, (F.col("l_shard") == F.col("r_shard")) & (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & near("l_shard", "l_sim", "r_sim"))
-    more = keep(verified(cross.select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b")).distinct(), held))
+    more = keep(check(cross.select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b")).distinct(), held))
     if not more.isEmpty():
         named = keep(components(links.union(more)))
     for done in (met, held, stars):
