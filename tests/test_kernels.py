@@ -152,3 +152,28 @@ def test_draw_is_stable(spark):
     import hashlib
 
     assert spark.range(1).select(draw("s", F.lit(5)).alias("x")).first().x == int(hashlib.md5(b"s|5").hexdigest()[:8], 16)
+
+
+def test_observation_bootstrap(spark):
+    import numpy as np
+
+    from veldt.operators.simulate import observation_bootstrap, poisson
+    from veldt.queries.blocks import summarised
+
+    w = np.stack([poisson(np.arange(5000), r, 1) for r in range(1, 41)])
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+    rng = np.random.default_rng(5)
+    y = rng.normal(1000, 10, 400)
+    p1, p2, p3 = y + rng.normal(0, 8, 400), y + rng.normal(0, 3, 400), y + rng.normal(0, 3, 400)
+    rows = [(i, *map(float, v)) for i, v in enumerate(zip(y, p1, p2, p3))] + [(900, None, 1.0, 1.0, 1.0), (901, 1.0, float("nan"), 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "plot long, y double, p1 double, p2 double, p3 double")
+    got = {x.name: x for x in summarised(observation_bootstrap(frame, "plot", "y", ["p1", "p2", "p3"])).collect()}
+    again = {x.name: x for x in summarised(observation_bootstrap(frame.repartition(3), "plot", "y", ["p1", "p2", "p3"])).collect()}
+    want = 1 - ((y - p1) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    assert abs(got["p1"].estimate - want) < 1e-9 and got["p1"].n_obs == 400 and got["p1"].n_boot == 2000 and got["p1"].p is None
+    draws = [1 - ((y[k] - p1[k]) ** 2).sum() / ((y[k] - y[k].mean()) ** 2).sum() for k in rng.integers(0, 400, (2000, 400))]
+    assert np.allclose([got["p1"].low, got["p1"].high], np.quantile(draws, [0.025, 0.975]), atol=0.02)
+    assert got["p2-p1"].low > 0 and abs(got["p2-p1"].p - 2 / 2001) < 1e-12 and got["p3-p2"].p > 0.01
+    assert all(abs(got[k].low - again[k].low) < 1e-9 for k in got)
+    few = summarised(observation_bootstrap(frame, "plot", "y", ["p1", "p2", "p3"], reps=99)).filter("name = 'p1'").first()
+    assert few.low is None and few.estimate is not None

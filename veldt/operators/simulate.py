@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def seed(*key) -> int:
@@ -75,3 +76,40 @@ def pixel_bootstrap(packed: DataFrame, reps: int, margin: int, rho: float, cutof
             yield pd.DataFrame(out, columns=["cell", "detected", "tau_low", "tau_mid", "tau_high"])
 
     return packed.select("cell", "s").mapInPandas(run, "cell int, detected double, tau_low int, tau_mid int, tau_high int")
+
+
+def poisson(key: np.ndarray, rep: int, master: int) -> np.ndarray:
+    """Poisson(1) weights that depend on (master, rep, key) alone."""
+    z = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed(master, "obs", rep) * 0xD1342543DE82EF95 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    u = (z ^ (z >> np.uint64(31))) / 2.0**64
+    return np.searchsorted(np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)])), u, side="right").astype(float)
+
+
+def observation_bootstrap(rows: DataFrame, key: str, y: str, predictions: list[str], reps: int = 2000, master: int = 1) -> DataFrame:
+    """rep and the weighted sums n, sy, syy, e_<prediction> (squared errors) over all rows; rep 0 has every row once.
+
+    Rows with a null or a value that is not finite are left out. Sums alone cross the shuffle; they are taken
+    around the mean of y, so that they stay exact.
+    """
+    good = [F.col(c).cast("double").alias(c) for c in (y, *predictions)]
+    held = rows.select(F.col(key).cast("long").alias("key"), *good).dropna()
+    for c in (y, *predictions):
+        held = held.filter(~F.isnan(c) & (F.abs(c) < float("inf")))
+    centre = held.agg(F.avg(y)).first()[0] or 0.0
+    names = ["n", "sy", "syy", *[f"e_{p}" for p in predictions]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((reps + 1, len(names)))
+        for b in batches:
+            v = b[y].to_numpy() - centre
+            x = np.stack([np.ones(len(b)), v, v * v, *[(b[y] - b[p]).to_numpy() ** 2 for p in predictions]], axis=1)
+            keys = b["key"].to_numpy()
+            total[0] += x.sum(axis=0)
+            for rep in range(1, reps + 1):
+                total[rep] += poisson(keys, rep, master) @ x
+        yield pd.DataFrame(total, columns=names).assign(rep=np.arange(reps + 1))[["rep", *names]]
+
+    parts = held.mapInPandas(run, "rep long, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])

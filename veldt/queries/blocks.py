@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions.scalars import block_id, draw
 from veldt.operators.blocks import interval, plus_one_p, replicate_sums, weights
+from veldt.operators.simulate import observation_bootstrap
 from veldt.plans.cubes import SCORED, scored
 from veldt.queries import query
 from veldt.sources.tables import table
@@ -198,6 +199,26 @@ def obs_boot(spark, d):
     return s.groupBy("scenario").agg(F.round(F.min(r2), 6).alias("lo"), F.round(F.max(r2), 6).alias("hi"))
 
 
+@query("stat36_obs_bootstrap")
+def obs_bootstrap(spark, d):
+    """R2 of each prediction and its differences over all rows: 2000 Poisson replicates, percentile bounds from 100 finite ones on, plus-one p of differences."""
+    return summarised(observation_bootstrap(scored(spark, d), "plot", "y", ["p1", "p2", "p3"]))
+
+
+def summarised(sums: DataFrame) -> DataFrame:
+    """name, estimate, low, high, p, n_boot, n_obs."""
+    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    r2 = lambda p: F.when(sst > 0, 1 - F.col(f"e_{p}") / sst)
+    diff = lambda a, b: F.when(sst > 0, (F.col(f"e_{b}") - F.col(f"e_{a}")) / sst)
+    kinds = [("p1", r2("p1")), ("p2", r2("p2")), ("p3", r2("p3")), ("p2-p1", diff("p2", "p1")), ("p3-p1", diff("p3", "p1")), ("p3-p2", diff("p3", "p2"))]
+    v = sums.select("rep", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), x.alias("v")) for k, x in kinds])).alias("x")).select("rep", "n", "x.*")
+    drawn = F.when(F.col("rep") > 0, F.col("v"))
+    g = v.groupBy("name").agg(F.max(F.when(F.col("rep") == 0, F.col("v"))).alias("estimate"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"), F.count(drawn).alias("n_boot"), F.count_if(drawn <= 0).alias("left"), F.count_if(drawn >= 0).alias("right"), F.max(F.when(F.col("rep") == 0, F.col("n"))).cast("long").alias("n_obs"))
+    ready = (F.col("n_boot") >= 100) & (F.col("n_obs") >= 10)
+    p = F.least(F.lit(1.0), 2 * (F.least("left", "right") + 1) / (F.col("n_boot") + 1))
+    return g.select("name", F.when(F.col("n_obs") >= 10, F.col("estimate")).alias("estimate"), F.when(ready, F.col("low")).alias("low"), F.when(ready, F.col("high")).alias("high"), F.when(ready & F.contains("name", F.lit("-")), p).alias("p"), "n_boot", "n_obs")
+
+
 @query("stat58_folds", "with u as (select distinct o_custkey id from orders), r as (select id, row_number() over (order by md5('1|'||id), id) - 1 k from u) select id, (k % 5)::int fold from r")
 def folds(spark, d):
     """Grouped folds in a keyed order: ranks within 256 key ranges plus the ranges' offsets, so that no task ranks all ids."""
