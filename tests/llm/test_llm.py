@@ -134,6 +134,10 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_digit_share_of_whole_block():
+    assert html_text.features(("a" * 5000 + "7" * 5000, 0, (), "p", 0))[6] == 0.5
+
+
 def test_min_cut():
     r = random.Random(6)
     for _ in range(300):
