@@ -412,6 +412,14 @@ def test_line_dedup_whole(spark):
     assert line_dedup.fuzzy_line_dedup(table(spark, []), whole=True).count() == 0
 
 
+def test_long_lines_by_characters(spark):
+    w = words(random.Random(3), 300).split(" ")
+    a, b = " ".join(w), " ".join(x[:-1] + "z" if k % 4 == 0 else x for k, x in enumerate(w))
+    assert len(a) > line_dedup.BY_CHARS
+    lines = spark.createDataFrame([(1, a), (2, b)], "node long, line string").select("node", *line_dedup.comparable(F.col("line"), True))
+    assert line_dedup.verified(spark.createDataFrame([(1, 2)], "a long, b long"), lines).count() == 1
+
+
 def test_line_normal_form(spark):
     same = ["Hello, world! Well", "hello world well", "Hello\u3000world\u2003well", "hello\x01world \u200b well", "(hello) world: well."]
     rows = [*enumerate(same), (10, "--"), (11, " --\t"), (12, "**"), (13, "\u3000 \t"), (14, "\u2003")]
