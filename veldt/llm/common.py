@@ -25,14 +25,25 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have in any spelling of upper and lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset and gets a folder of its own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='veldt-')}"
+        named = held.get() if held.isDefined() else ""
         if not held.isDefined():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = f"file://{tempfile.mkdtemp(prefix='veldt-')}"
             sc.setCheckpointDir(named)
     return named.rstrip("/")
 

@@ -1,9 +1,11 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
-Lines are normalised and meet if they share one of sixteen bands of five least hashes of their words (lines of few
-words also of their pairs of characters); those pairs are verified by edit similarity, verified pairs close into
-groups, and of each group only the first occurrence stays. Without ``whole``, lines meet only where SimHashes over
-their words differ in at most three bits, which leaves most similar lines uncompared.
+Lines are normalised, and equal ones are one node from there on. Nodes meet in sixteen blocks of four least hashes of
+their pairs of neighbouring words (threes of characters for lines of few words), SimHashes over words tell apart what
+meets by chance, edit similarity verifies, verified pairs close into groups, and of each group only the first
+occurrence stays. Blocks of the SimHash itself would need three differing bits at most: one word changed in twenty
+turns over about six, and most similar lines would never meet. That form is kept: without ``whole``, lines meet by
+pigeonhole in pairs of SimHash blocks.
 
 In a small block all lines are compared. In a large one every line is first compared with one pivot; once those
 links have closed, only lines outside the block's largest group are compared with the others, so that a block in
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import drop_kept, keep, release_shuffles
+from veldt.llm.common import drop_kept, keep, release_shuffles, unused
 from veldt.llm.graph import components
 
 RADIUS, SIMILAR = 3, 0.8
@@ -30,24 +32,33 @@ BY_CHARS = 1280
 SMALL = 8
 #: Lines up to this many characters have under 2^14 words, which four lanes of 16 bits count; longer ones take two of 32.
 NARROW = 32_000
-#: Least hashes of a line, and those that each band takes: every one serves two or three bands.
+#: Least hashes of a line, and the four that each band takes: every one serves two bands.
 LEAST = 32
-BANDS = tuple(tuple((b * 2 + k * step) % LEAST for k, step in enumerate((0, 5, 11, 18, 23))) for b in range(LEAST // 2))
+BANDS = tuple(tuple((b * 2 + step) % LEAST for step in (0, 5, 11, 22)) for b in range(LEAST // 2))
 MASKS = np.random.default_rng(10).integers(-(1 << 31), 1 << 31, LEAST).tolist()
-#: Lines of fewer words also meet by pairs of characters.
+#: Lines of fewer words meet by words instead of pairs of words, and by threes of characters besides.
 FEW = 10
-#: Of the least hashes' last two bits, how many may differ for a pair to be verified: by words, by characters.
-UNLIKE = (14, 20)
+#: Bits in which the SimHashes of two lines of one band may differ for the pair to be verified.
+UNLIKE = 24
 
 
-def normalise(line: Column) -> Column:
-    """Lower case; every run of ASCII, Latin-1, general and CJK punctuation, white space and controls as one space, none at the ends.
+#: ASCII, Latin-1, general and CJK punctuation, white space and controls; and those of them that are white space or controls.
+MARKS = r"[\x00-/:-@\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]+"
+BLANKS = r"[\x00-\x20\x7f\u00a0\u2000-\u200b\u3000]+"
 
-    A line of such marks alone keeps those that are not white space.
-    """
+
+def normalise(line: Column) -> Column:
+    """Lower case; every run of MARKS as one space, none at the ends. A line of such marks alone keeps those that are not BLANKS."""
     low = F.lower(line)
-    plain = F.trim(F.regexp_replace(low, r"[\x00-/:-@\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]+", " "))
-    return F.when(plain != "", plain).otherwise(F.trim(F.regexp_replace(low, r"[\x00-\x20\x7f\u00a0\u2000-\u200b\u3000]+", " ")))
+    plain = F.trim(F.regexp_replace(low, MARKS, " "))
+    return F.when(plain != "", plain).otherwise(F.trim(F.regexp_replace(low, BLANKS, " ")))
+
+
+def normal_lines(raw: DataFrame) -> DataFrame:
+    """doc_id, line_no, norm of (doc_id, line_no, line): as normalise(), each pattern run once a line and no filter that would run it again."""
+    low = raw.select("doc_id", "line_no", F.lower("line").alias("low"))
+    plain = low.select("doc_id", "line_no", "low", F.trim(F.regexp_replace("low", MARKS, " ")).alias("plain"))
+    return plain.select("doc_id", "line_no", F.when(F.col("plain") != "", F.col("plain")).otherwise(F.trim(F.regexp_replace("low", BLANKS, " "))).alias("norm"))
 
 
 def _counted(lines: DataFrame, lanes: int) -> DataFrame:
@@ -60,7 +71,7 @@ def _counted(lines: DataFrame, lanes: int) -> DataFrame:
     width = 64 // lanes
     ones = sum(1 << width * k for k in range(lanes))
     guards = ones << (width - 2)
-    words = lines.select("doc_id", "line_no", F.xxhash64("norm").alias("hash"), F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("doc_id", "line_no", "hash", F.xxhash64("w").alias("h"))
+    words = lines.select("doc_id", "line_no", F.xxhash64("norm").alias("hash"), F.explode_outer(F.array_distinct(F.split("norm", " "))).alias("w")).filter("w <> ''").select("doc_id", "line_no", "hash", F.xxhash64("w").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(ones)).alias(f"c{j}") for j in range(width)]
     counted = words.groupBy("doc_id", "line_no", "hash").agg(*sums, F.count(F.lit(1)).alias("n"))
     room = F.col("n") * F.lit(ones) + F.lit(guards)
@@ -68,7 +79,7 @@ def _counted(lines: DataFrame, lanes: int) -> DataFrame:
     for j in range(width):
         over = F.shiftrightunsigned(F.bitwise_not(F.col("room") - F.col(f"c{j}") * 2), width - 2).bitwiseAND(ones)
         sim = sim.bitwiseOR(F.shiftleft(over, j))
-    return counted.withColumn("room", room).select("doc_id", "line_no", "hash", sim.alias("sim"))
+    return counted.withColumn("room", room).select("doc_id", "line_no", "hash", F.lit(0).alias("kind"), sim.alias("sim"))
 
 
 def hashed_lines(raw: DataFrame) -> DataFrame:
@@ -77,39 +88,40 @@ def hashed_lines(raw: DataFrame) -> DataFrame:
     A line is known by the 64-bit hash of its normal form. Bit b of sim is 1 if over half of its distinct words' hashes have it.
     """
     size = F.length("line")
-    norm = lambda part: part.select("doc_id", "line_no", normalise(F.col("line")).alias("norm")).filter("norm <> ''")
-    return _counted(norm(raw.filter(size <= NARROW)), 4).union(_counted(norm(raw.filter(size > NARROW)), 2))
+    return _counted(normal_lines(raw.filter(size <= NARROW)), 4).union(_counted(normal_lines(raw.filter(size > NARROW)), 2))
 
 
-def least_hashes(lines: DataFrame, kind: int) -> DataFrame:
-    """doc_id, line_no, hash, kind, sim, k0 ... of (doc_id, line_no, hash, ws): two bits of each least hash, and a hash of each band.
+def least_hashes(parts: DataFrame) -> DataFrame:
+    """doc_id, line_no, hash, kind, b0 ...: a hash of each band of least hashes, of (doc_id, line_no, hash, kind, h), a row for each part's hash h.
 
-    A least hash is the smallest of one half of the parts' hashes, its bits turned over by a mask.
+    A least hash is the smallest of 32 bits of the parts' hashes, each from another place on and turned over by another
+    mask: bits from one place would put the parts in much the same order again and again.
     """
-    parts = lines.select("doc_id", "line_no", "hash", F.explode("ws").alias("w")).select("doc_id", "line_no", "hash", F.xxhash64("w").alias("h"))
-    parts = parts.select("doc_id", "line_no", "hash", F.shiftright("h", 32).cast("int").alias("h0"), F.shiftright(F.shiftleft("h", 32), 32).cast("int").alias("h1"))
-    found = parts.groupBy("doc_id", "line_no", "hash").agg(*[F.min(F.col(f"h{i % 2}").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)])
-    sim = F.lit(0).cast("long")
-    for i in range(LEAST):
-        sim = sim.bitwiseOR(F.shiftleft(F.hash(f"m{i}").cast("long").bitwiseAND(3), 2 * i))
-    return found.select("doc_id", "line_no", "hash", F.lit(kind).alias("kind"), sim.alias("sim"), *[F.hash(*[f"m{i}" for i in band]).alias(f"k{b}") for b, band in enumerate(BANDS)])
+    bits = [F.shiftright(F.shiftleft("h", i), 32).cast("int") for i in range(LEAST)]
+    found = parts.groupBy("doc_id", "line_no", "hash", "kind").agg(*[F.min(x.bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, (x, m) in enumerate(zip(bits, MASKS, strict=True))])
+    return found.select("doc_id", "line_no", "hash", "kind", *[F.hash(*[f"m{i}" for i in band]).alias(f"b{b}") for b, band in enumerate(BANDS)])
 
 
 def banded_lines(raw: DataFrame) -> DataFrame:
-    """doc_id, line_no, hash, kind, sim, k0 ... of the lines that hold anything but white space.
+    """doc_id, line_no, hash, kind, b0 ... of the lines that hold anything but white space.
 
-    Kind 0 is by words, for every line; kind 1 by pairs of characters, for lines of fewer than FEW words.
+    Kind 0, for every line, is by pairs of neighbouring words, in lines of fewer than FEW words by words; kind 1, for
+    those lines, by threes of neighbouring characters. The outer explode keeps Spark from testing,
+    and so computing, the array beforehand.
     """
-    norm = raw.select("doc_id", "line_no", normalise(F.col("line")).alias("norm")).filter("norm <> ''").select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("hash"))
-    by_words = norm.select("doc_id", "line_no", "hash", F.split("norm", " ").alias("ws"))
-    chars = F.split("norm", "")
-    pairs = F.transform(chars, lambda c, i: F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit(""))))
-    by_chars = norm.filter(F.size(F.split("norm", " ", FEW)) < FEW).select("doc_id", "line_no", "hash", pairs.alias("ws"))
-    return least_hashes(by_words, 0).union(least_hashes(by_chars, 1))
+    split = normal_lines(raw).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("hash"), F.split("norm", " ").alias("ws"))
+    sized = split.select("doc_id", "line_no", "norm", "hash", "ws", F.size("ws").cast("int").alias("n"))
+    parts = sized.select("doc_id", "line_no", "hash", "n", F.when(F.col("n") < FEW, F.concat("ws", F.split("norm", ""))).otherwise(F.col("ws")).alias("parts"))
+    each = parts.select("doc_id", "line_no", "hash", "n", "parts", F.posexplode_outer("parts").alias("at", "part")).filter("part <> ''")
+    chars = F.col("at") >= F.col("n")
+    near = [F.when(chars | (F.col("n") >= FEW), F.get("parts", F.col("at") + 1)), F.when(chars, F.get("parts", F.col("at") + 2))]
+    return least_hashes(each.select("doc_id", "line_no", "hash", F.when(chars, 1).otherwise(0).alias("kind"), F.xxhash64("part", *near).alias("h")))
 
 
 def raw_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line_no", "line"))
+    """doc_id, line_no, line of the rows with an id and a text."""
+    split = df.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc_id"), F.posexplode_outer(F.split(F.col(f"`{text}`"), "\n")).alias("line_no", "line"))
+    return split.filter("line is not null")
 
 
 def comparable(norm: Column, whole: bool = False) -> list[Column]:
@@ -121,15 +133,35 @@ def comparable(norm: Column, whole: bool = False) -> list[Column]:
     return [F.when(n <= BY_CHARS, norm).alias("chars"), F.when(n >= int(BY_CHARS * SIMILAR), F.decode(F.unhex(spelled), "UTF-16BE")).alias("words")]
 
 
+def same_start(x: Column, y: Column) -> Column:
+    """Into how many elements two arrays are equal from their start."""
+    differ = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
+    return F.when(differ > 0, differ - 1).otherwise(F.size(x)).cast("int")
+
+
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose edit similarity is SIMILAR or more."""
+    """The pairs (a, b) of nodes whose edit similarity is SIMILAR or more.
+
+    Words that both lines start or end with do not count towards the distance. What lies between is compared word by
+    word in place, whose sum is never below the distance and settles most pairs; the rest is compared by characters.
+    Each step is a projection of its own and the last filter stands behind a generator, since a filter that Spark
+    pushes into projections computes them once for every use.
+    """
     side = lambda x: held.select(F.col("node").alias(x), F.col("chars").alias(f"{x}_chars"), F.col("words").alias(f"{x}_words"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     pick = F.col("a_chars").isNotNull() & F.col("b_chars").isNotNull()
-    x, y = F.when(pick, F.col("a_chars")).otherwise(F.col("a_words")), F.when(pick, F.col("b_chars")).otherwise(F.col("b_words"))
-    room = F.floor((1 - SIMILAR + 1e-9) * F.greatest(F.length(x), F.length(y))).cast("int")
-    near = F.when(F.abs(F.length(x) - F.length(y)) <= room, F.call_function("levenshtein", x, y, room) >= 0).otherwise(F.lit(False))
-    return both.filter(near).select("a", "b")
+    both = both.select("a", "b", F.when(pick, F.col("a_chars")).otherwise(F.col("a_words")).alias("x"), F.when(pick, F.col("b_chars")).otherwise(F.col("b_words")).alias("y"))
+    room = F.floor((1 - SIMILAR + 1e-9) * F.greatest(F.length("x"), F.length("y"))).cast("int")
+    both = both.filter(F.abs(F.length("x") - F.length("y")) <= room).select("a", "b", room.alias("room"), F.split("x", " ").alias("x"), F.split("y", " ").alias("y"))
+    rest = both.select("a", "b", "room", "x", "y", same_start(F.col("x"), F.col("y")).alias("head"))
+    rest = rest.select("a", "b", "room", *[F.slice(F.reverse(w), 1, F.size(w) - F.col("head")).alias(w) for w in "xy"])
+    rest = rest.select("a", "b", "room", "x", "y", same_start(F.col("x"), F.col("y")).alias("tail"))
+    rest = rest.select("a", "b", "room", *[F.reverse(F.slice(w, F.col("tail") + 1, F.size(w))).alias(w) for w in "xy"])
+    step = lambda p, q: F.when(p.isNull(), F.length(q) + 1).when(q.isNull(), F.length(p) + 1).otherwise(F.levenshtein(p, q))
+    placed = rest.select("a", "b", "room", "x", "y", F.aggregate(F.zip_with("x", "y", step), F.lit(0), lambda n, d: n + d).alias("placed"))
+    spaced = [F.when(F.size(w) > 0, F.concat(F.lit(" "), F.array_join(w, " "))).otherwise("") for w in "xy"]
+    near = F.when(F.col("placed") <= F.col("room"), True).otherwise(F.levenshtein(*spaced) <= F.col("room"))
+    return placed.select(F.explode_outer(F.when(near, F.array(F.struct("a", "b")))).alias("pair")).filter("pair is not null").select("pair.a", "pair.b")
 
 
 def shards(nodes: DataFrame) -> DataFrame:
@@ -139,77 +171,85 @@ def shards(nodes: DataFrame) -> DataFrame:
     return nodes.select("hash", F.explode(F.array(*keys)).alias("shard"))
 
 
-def met_in_bands(numbered: DataFrame) -> DataFrame:
-    """shard, size, hash, sim of lines that share a band with another; a few bands at a time, so that little lies on disk."""
-    cards = keep(numbered.groupBy("hash", "kind").agg(F.min("sim").alias("sim"), *[F.min(f"k{b}").alias(f"k{b}") for b in range(len(BANDS))]))
-    release_shuffles(numbered.sparkSession)
+def met_in_bands(cards: DataFrame, bands: int) -> DataFrame:
+    """shard, size, hash of the nodes that share a band with another, of (hash, kind, b0 ...); a few bands at a time, so that little lies on disk."""
     met = None
-    for at in range(0, len(BANDS), 4):
-        keys = [F.shiftleft(F.col("kind").cast("long") * len(BANDS) + b, 32).bitwiseOR(F.col(f"k{b}").cast("long").bitwiseAND((1 << 32) - 1)) for b in range(at, at + 4)]
-        dealt = cards.select("hash", "sim", F.explode(F.array(*keys)).alias("shard"))
+    for at in range(0, bands, 4):
+        keys = [F.shiftleft(F.col("kind").cast("long") * bands + b, 32).bitwiseOR(F.col(f"b{b}").cast("long").bitwiseAND((1 << 32) - 1)) for b in range(at, min(at + 4, bands))]
+        dealt = cards.select("hash", F.explode(F.array(*keys)).alias("shard"))
         shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        some = keep(dealt.join(shared.hint("shuffle_hash"), "shard").select("shard", "size", "hash", "sim"))
+        some = keep(dealt.join(shared.hint("shuffle_hash"), "shard").select("shard", "size", "hash"))
         met = some if met is None else met.union(some)
-        release_shuffles(numbered.sparkSession)
-    drop_kept(cards)
+        release_shuffles(cards.sparkSession)
     return met
 
 
-def groups(raw: DataFrame, numbered: DataFrame, whole: bool = False, hold: Callable[[Column], list[Column]] | None = None, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """hash, low: the lines that occur twice or link to another, with their group's first occurrence.
+def simhashes(held: DataFrame) -> DataFrame:
+    """hash, sim of (node, norm): SimHashes over words, or over characters for lines of fewer than FEW words."""
+    parts = F.when(F.size(F.split("norm", " ", FEW)) < FEW, F.concat_ws(" ", F.split("norm", ""))).otherwise(F.col("norm"))
+    lines = held.select(F.col("node").alias("doc_id"), F.lit(0).alias("line_no"), parts.alias("norm"), (F.length("norm") > NARROW).alias("long"))
+    return _counted(lines.filter("not long"), 4).union(_counted(lines.filter("long"), 2)).select(F.col("doc_id").alias("hash"), "sim")
+
 
-    raw: doc_id, line_no, line; numbered: its hashed_lines, or its banded_lines if ``whole``.
-    hold: what a comparison needs of a line, here its normal form; check: the pairs (a, b) of nodes that are alike.
+def groups(raw: DataFrame, numbered: DataFrame, met: Callable[[DataFrame], DataFrame], hold: Callable[[Column], list[Column]], check: Callable[[DataFrame, DataFrame], DataFrame], sims: Callable[[DataFrame, DataFrame], DataFrame], unlike: int) -> DataFrame:
+    """hash, group: the lines that occur twice or link to another, and what names their group.
+
+    raw: doc_id, line_no, line; numbered: doc_id, line_no, hash, kind and what met and sims need
+    of a line; every line has a row of kind 0.
+    met: shard, size, hash of the nodes that meet, of the distinct rows by hash and kind; hold: what a comparison needs of a line; sims: hash, sim of the
+    nodes held; check: the pairs (a, b) of nodes that are alike, of those whose sims differ in at most unlike bits.
     """
     spark = raw.sparkSession
-    hold, check = hold or (lambda line: comparable(normalise(line), whole)), check or verified
-    lines = numbered.filter("kind = 0") if whole else numbered
-    nodes = keep(lines.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")))
+    carried = [c for c in numbered.columns if c not in ("doc_id", "line_no", "hash", "kind")]
+    cards = keep(numbered.groupBy("hash", "kind").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in carried]))
     release_shuffles(spark)
-    if whole:
-        met = met_in_bands(numbered)
-    else:
-        dealt = shards(nodes)
-        shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        met = keep(dealt.join(shared.hint("shuffle_hash"), "shard").join(nodes.select("hash", "sim"), "hash").select("shard", "size", "hash", "sim"))
+    nodes = cards.filter("kind = 0")
+    meetings = met(cards)
+    places = meetings.select("hash").distinct().join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
+    held = keep(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *hold(F.col("line"))).dropDuplicates(["node"]))
     release_shuffles(spark)
-
-    def near(shard: str, a: str, b: str) -> Column:
-        x = F.col(a).bitwiseXOR(F.col(b))
-        if not whole:
-            return F.bit_count(x) <= RADIUS
-        unlike = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(sum(1 << 2 * i for i in range(LEAST))))
-        return unlike <= F.when(F.col(shard) < len(BANDS) << 32, UNLIKE[0]).otherwise(UNLIKE[1])
-
-    few, many = met.filter(F.col("size") <= SMALL), met.filter(F.col("size") > SMALL)
+    signed = keep(meetings.join(sims(nodes, held), "hash").select("shard", "size", "hash", "sim"))
+    release_shuffles(spark)
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= unlike
+    few, many = signed.filter(F.col("size") <= SMALL), signed.filter(F.col("size") > SMALL)
     other = few.select("shard", F.col("hash").alias("b"), F.col("sim").alias("b_sim"))
-    close = few.join(other.withColumnRenamed("shard", "b_shard"), (F.col("shard") == F.col("b_shard")) & (F.col("hash") < F.col("b")) & near("shard", "sim", "b_sim")).select(F.col("hash").alias("a"), "b")
+    close = few.join(other.withColumnRenamed("shard", "b_shard"), (F.col("shard") == F.col("b_shard")) & (F.col("hash") < F.col("b")) & near("sim", "b_sim")).select(F.col("hash").alias("a"), "b")
     pivots = many.groupBy("shard").agg(F.min("hash").alias("pivot"), F.min_by("sim", "hash").alias("pivot_sim"))
-    led = many.join(pivots, "shard").filter((F.col("hash") != F.col("pivot")) & near("shard", "sim", "pivot_sim")).select(F.col("pivot").alias("a"), F.col("hash").alias("b"))
-    stars = keep(close.union(led).distinct())
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("hash")).union(many.select("hash")).distinct()
-    places = wanted.join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
-    release_shuffles(spark)
-    held = keep(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *hold(F.col("line"))).dropDuplicates(["node"]))
+    led = many.join(pivots, "shard").filter((F.col("hash") != F.col("pivot")) & near("sim", "pivot_sim")).select(F.col("pivot").alias("a"), F.col("hash").alias("b"))
+    links = keep(check(close.union(led).distinct(), held))
     release_shuffles(spark)
-    links = keep(check(stars, held))
     named = keep(components(links))
     crowd = many.join(named, F.col("hash") == F.col("node"), "left").select("shard", "hash", "sim", F.coalesce("component", "hash").alias("own"))
     most = crowd.groupBy("shard", "own").count().groupBy("shard").agg(F.max_by("own", "count").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     split = crowd.join(most, "shard").join(pivots, "shard").filter("hash <> pivot").withColumn("out", F.col("own") != F.col("main")).select("shard", "hash", "sim", "own", "out")
     left, right = split.filter("out").select(F.col("shard").alias("l_shard"), *[F.col(c).alias(f"l_{c}") for c in ("hash", "sim", "own")]), split.select(F.col("shard").alias("r_shard"), *[F.col(c).alias(f"r_{c}") for c in ("hash", "sim", "own", "out")])
-    cross = left.join(right, (F.col("l_shard") == F.col("r_shard")) & (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & near("l_shard", "l_sim", "r_sim"))
+    cross = left.join(right, (F.col("l_shard") == F.col("r_shard")) & (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & near("l_sim", "r_sim"))
     more = keep(check(cross.select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b")).distinct(), held))
     if not more.isEmpty():
         named = keep(components(links.union(more)))
-    for done in (met, held, stars):
+    for done in (meetings, signed, held):
         drop_kept(done)
     release_shuffles(spark)
-    rooted = nodes.join(named, F.col("hash") == F.col("node"), "left")
-    alone = rooted.filter("component is null and n > 1").select("hash", F.col("first").alias("low"))
-    joined = rooted.filter("component is not null").select("hash", "first", "component")
-    least = joined.groupBy("component").agg(F.min("first").alias("low"))
-    return alone.union(joined.join(least, "component").select("hash", "low"))
+    rooted = nodes.join(named, F.col("hash") == F.col("node"), "left").filter("component is not null or n > 1")
+    return rooted.select("hash", F.coalesce("component", "hash").alias("group"), "first")
+
+
+def alike_lines(raw: DataFrame, numbered: DataFrame, whole: bool) -> DataFrame:
+    """hash, low: the lines that occur twice or link to another, with their group's first occurrence."""
+    hold = lambda line: [normalise(line).alias("norm"), *comparable(normalise(line), whole)]
+
+    def sharded(nodes: DataFrame) -> DataFrame:
+        dealt = shards(nodes)
+        shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        return keep(dealt.join(shared.hint("shuffle_hash"), "shard").select("shard", "size", "hash"))
+
+    if whole:
+        found = groups(raw, numbered, lambda cards: met_in_bands(cards, len(BANDS)), hold, verified, lambda _, held: simhashes(held), UNLIKE)
+    else:
+        found = groups(raw, numbered, sharded, hold, verified, lambda nodes, _: nodes.select("hash", "sim"), RADIUS)
+    found = keep(found)
+    low = found.groupBy("group").agg(F.min("first").alias("low"))
+    return found.join(low, "group").select("hash", "low")
 
 
 def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
@@ -223,17 +263,17 @@ def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", who
     raw = raw_lines(df, key, text)
     numbered = keep(banded_lines(raw) if whole else hashed_lines(raw))
     release_shuffles(df.sparkSession)
-    low = groups(raw, numbered, whole)
-    drops = (numbered.filter("kind = 0") if whole else numbered).join(low, "hash").filter(F.struct("doc_id", "line_no") != F.col("low"))
-    gone = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    left = keep(gone)
+    low = alike_lines(raw, numbered, whole)
+    drops = numbered.filter("kind = 0").select("doc_id", "line_no", "hash").join(low, "hash").filter(F.struct("doc_id", "line_no") != F.col("low"))
+    left = keep(drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")))
     drop_kept(numbered)
     release_shuffles(df.sparkSession)
-    body = F.col(f"`{text}`")
-    kept = F.array_join(F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    cut = F.when(F.col("__gone").isNull(), body).otherwise(kept)
-    joined = df.join(left, F.col(f"`{key}`") == F.col("__id"), "left")
-    return joined.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    own, lost, parts = unused(df, "id"), unused(df, "gone"), unused(df, "lines")
+    joined = df.join(left.select(F.col("doc_id").alias(own), F.col("gone").alias(lost)), F.col(f"`{key}`") == F.col(own), "left")
+    split = joined.withColumn(parts, F.when(F.col(lost).isNotNull(), F.split(F.col(f"`{text}`"), "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))  # by a hash set, in linear time
+    cut = F.when(F.col(lost).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(parts), i)), "\n"))
+    return split.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ edges within the radius. Of the links in a shard, a spanning forest is kept; com
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,26 +30,40 @@ TREE = 1024
 SHINGLES = 1 << 16
 
 
-def fingerprint(text: str) -> int:
-    """Bit b is 1 if over half of the shingles' hashes have it; no words give 0."""
+def shingle_hashes(text: str, width: int = WORDS) -> Iterator[np.ndarray]:
+    """XXH64 of each run of width words, SHINGLES at a time; fewer words are one run, and no words none."""
     words = text.encode().lower().split()  # bytes: A-Z alone, and split at \x20 and \x09-\x0D alone
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) >= WORDS:
-        starts, ends = starts[: len(words) - WORDS + 1], ends[WORDS - 1 :]
+    if len(words) >= width:
+        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, counts, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(starts)
-    for at in range(0, n, SHINGLES):
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(starts), SHINGLES):
         s, e = starts[at : at + SHINGLES].tolist(), ends[at : at + SHINGLES].tolist()
-        h = np.fromiter([digest(line[a:b], SEED) for a, b in zip(s, e, strict=True)], "<u8", len(s))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.fromiter([digest(line[a:b], SEED) for a, b in zip(s, e, strict=True)], "<u8", len(s))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bit b is 1 if over half of the hashes have it; none give 0."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        for at in range(0, len(h), SHINGLES):
+            some = h[at : at + SHINGLES]
+            counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            n += len(some)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, width: int = WORDS) -> int:
+    """The SimHash of a text's runs of width words, repeats included."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text as a signed long."""
     bound_batches(df.sparkSession)
