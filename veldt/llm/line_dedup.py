@@ -1,13 +1,13 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
 Lines are normalised, and equal ones are one node from there on. Nodes meet in sixteen blocks of four least hashes of
-their pairs of neighbouring words (threes of characters for lines of few words), SimHashes over words tell apart what
-meets by chance, edit similarity verifies, verified pairs close into groups, and of each group only the first
-occurrence stays. Blocks of the SimHash itself would need three differing bits at most: one word changed in twenty
-turns over about six, and most similar lines would never meet. That form is kept: without ``whole``, lines meet by
-pigeonhole in pairs of SimHash blocks.
+their pairs of neighbouring words (of words and threes of characters in lines of few words), two bits of each least
+hash tell apart what meets by chance, edit similarity verifies, verified pairs close into groups, and of each group
+only the first occurrence stays. Blocks of a SimHash would need three differing bits at most: one word changed in
+twenty turns over about six, and most similar lines would never meet. That form is kept: without ``whole``, lines meet
+by pigeonhole in pairs of SimHash blocks.
 
-In a small block all lines are compared. In a large one every line is first compared with one pivot; once those
+In a small block all lines are compared. In a large one every line is first compared with a few pivots; once those
 links have closed, only lines outside the block's largest group are compared with the others, so that a block in
 which thousands of lines are alike costs a comparison a line, not one a pair, and no link between groups is lost.
 """
@@ -38,8 +38,10 @@ BANDS = tuple(tuple((b * 2 + step) % LEAST for step in (0, 5, 11, 22)) for b in
 MASKS = np.random.default_rng(10).integers(-(1 << 31), 1 << 31, LEAST).tolist()
 #: Lines of fewer words meet by words instead of pairs of words, and by threes of characters besides.
 FEW = 10
-#: Bits in which the SimHashes of two lines of one band may differ for the pair to be verified.
-UNLIKE = 24
+#: Of the least hashes' last two bits, how many may differ for a pair to be verified: kind 0, kind 1.
+UNLIKE = (14, 13)
+#: Pivots that the lines of a large shard are compared with before the rest are compared with each other.
+PIVOTS = 3
 
 
 #: ASCII, Latin-1, general and CJK punctuation, white space and controls; and those of them that are white space or controls.
@@ -92,18 +94,21 @@ def hashed_lines(raw: DataFrame) -> DataFrame:
 
 
 def least_hashes(parts: DataFrame) -> DataFrame:
-    """doc_id, line_no, hash, kind, b0 ...: a hash of each band of least hashes, of (doc_id, line_no, hash, kind, h), a row for each part's hash h.
+    """doc_id, line_no, hash, kind, sim, b0 ...: two bits of each least hash, and a hash of each band of them, of (doc_id, line_no, hash, kind, h), a row for each part's hash h.
 
     A least hash is the smallest of 32 bits of the parts' hashes, each from another place on and turned over by another
     mask: bits from one place would put the parts in much the same order again and again.
     """
     bits = [F.shiftright(F.shiftleft("h", i), 32).cast("int") for i in range(LEAST)]
     found = parts.groupBy("doc_id", "line_no", "hash", "kind").agg(*[F.min(x.bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, (x, m) in enumerate(zip(bits, MASKS, strict=True))])
-    return found.select("doc_id", "line_no", "hash", "kind", *[F.hash(*[f"m{i}" for i in band]).alias(f"b{b}") for b, band in enumerate(BANDS)])
+    sim = F.lit(0).cast("long")
+    for i in range(LEAST):
+        sim = sim.bitwiseOR(F.shiftleft(F.hash(f"m{i}").bitwiseAND(3).cast("long"), 2 * i))
+    return found.select("doc_id", "line_no", "hash", "kind", sim.alias("sim"), *[F.hash(*[f"m{i}" for i in band]).alias(f"b{b}") for b, band in enumerate(BANDS)])
 
 
 def banded_lines(raw: DataFrame) -> DataFrame:
-    """doc_id, line_no, hash, kind, b0 ... of the lines that hold anything but white space.
+    """doc_id, line_no, hash, kind, sim, b0 ... of the lines that hold anything but white space.
 
     Kind 0, for every line, is by pairs of neighbouring words, in lines of fewer than FEW words by words; kind 1, for
     those lines, by threes of neighbouring characters. The outer explode keeps Spark from testing,
@@ -172,62 +177,75 @@ def shards(nodes: DataFrame) -> DataFrame:
 
 
 def met_in_bands(cards: DataFrame, bands: int) -> DataFrame:
-    """shard, size, hash of the nodes that share a band with another, of (hash, kind, b0 ...); a few bands at a time, so that little lies on disk."""
+    """shard, size, hash, sim of the nodes that share a band with another, of (hash, kind, sim, b0 ...); a few bands at a time, so that little lies on disk."""
     met = None
     for at in range(0, bands, 4):
         keys = [F.shiftleft(F.col("kind").cast("long") * bands + b, 32).bitwiseOR(F.col(f"b{b}").cast("long").bitwiseAND((1 << 32) - 1)) for b in range(at, min(at + 4, bands))]
-        dealt = cards.select("hash", F.explode(F.array(*keys)).alias("shard"))
+        dealt = cards.select("hash", "sim", F.explode(F.array(*keys)).alias("shard"))
         shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        some = keep(dealt.join(shared.hint("shuffle_hash"), "shard").select("shard", "size", "hash"))
+        some = keep(dealt.join(shared.hint("shuffle_hash"), "shard").select("shard", "size", "hash", "sim"))
         met = some if met is None else met.union(some)
         release_shuffles(cards.sparkSession)
     return met
 
 
-def simhashes(held: DataFrame) -> DataFrame:
-    """hash, sim of (node, norm): SimHashes over words, or over characters for lines of fewer than FEW words."""
-    parts = F.when(F.size(F.split("norm", " ", FEW)) < FEW, F.concat_ws(" ", F.split("norm", ""))).otherwise(F.col("norm"))
-    lines = held.select(F.col("node").alias("doc_id"), F.lit(0).alias("line_no"), parts.alias("norm"), (F.length("norm") > NARROW).alias("long"))
-    return _counted(lines.filter("not long"), 4).union(_counted(lines.filter("long"), 2)).select(F.col("doc_id").alias("hash"), "sim")
+def met_in_blocks(cards: DataFrame) -> DataFrame:
+    """shard, size, hash, sim of the nodes that share two blocks of their SimHash with another."""
+    dealt = shards(cards)
+    shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return keep(dealt.join(shared.hint("shuffle_hash"), "shard").join(cards.select("hash", "sim"), "hash").select("shard", "size", "hash", "sim"))
+
 
+Near = Callable[[Column, Column, Column], Column]
 
-def groups(raw: DataFrame, numbered: DataFrame, met: Callable[[DataFrame], DataFrame], hold: Callable[[Column], list[Column]], check: Callable[[DataFrame, DataFrame], DataFrame], sims: Callable[[DataFrame, DataFrame], DataFrame], unlike: int) -> DataFrame:
-    """hash, group: the lines that occur twice or link to another, and what names their group.
 
-    raw: doc_id, line_no, line; numbered: doc_id, line_no, hash, kind and what met and sims need
-    of a line; every line has a row of kind 0.
-    met: shard, size, hash of the nodes that meet, of the distinct rows by hash and kind; hold: what a comparison needs of a line; sims: hash, sim of the
-    nodes held; check: the pairs (a, b) of nodes that are alike, of those whose sims differ in at most unlike bits.
+def groups(raw: DataFrame, numbered: DataFrame, met: Callable[[DataFrame], DataFrame], near: Near, hold: Callable[[Column], list[Column]], check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """hash, group, first: the lines that occur twice or link to another, what names their group, and where they occur first.
+
+    raw: doc_id, line_no, line; numbered: doc_id, line_no, hash, kind and what met needs of a line; every line has a
+    row of kind 0. met: shard, size, hash, sim of the nodes that meet, of the distinct rows by hash and kind; near:
+    whether two sims of a shard are near enough to compare; hold: what a comparison needs of a line; check: the
+    pairs (a, b) of nodes that are alike.
     """
     spark = raw.sparkSession
     carried = [c for c in numbered.columns if c not in ("doc_id", "line_no", "hash", "kind")]
     cards = keep(numbered.groupBy("hash", "kind").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in carried]))
     release_shuffles(spark)
-    nodes = cards.filter("kind = 0")
-    meetings = met(cards)
-    places = meetings.select("hash").distinct().join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
+    nodes, meetings = cards.filter("kind = 0"), met(cards)
+    few, many = meetings.filter(F.col("size") <= SMALL), meetings.filter(F.col("size") > SMALL)
+    other = few.select(F.col("shard").alias("b_shard"), F.col("hash").alias("b"), F.col("sim").alias("b_sim"))
+    close = few.join(other, (F.col("shard") == F.col("b_shard")) & (F.col("hash") < F.col("b")) & near(F.col("sim"), F.col("b_sim"), F.col("shard"))).select(F.col("hash").alias("a"), "b")
+
+    def led(lines: DataFrame, of: DataFrame, turn: int) -> DataFrame:
+        """The lines with a pivot of their shard, taken from another table of shards, that are near it."""
+        at = F.xxhash64("hash", F.lit(turn))
+        pivots = of.groupBy("shard").agg(F.min_by("hash", at).alias("pivot"), F.min_by("sim", at).alias("pivot_sim"))
+        return lines.join(pivots, "shard").filter((F.col("hash") != F.col("pivot")) & near(F.col("sim"), F.col("pivot_sim"), F.col("shard"))).select(F.col("pivot").alias("a"), F.col("hash").alias("b"))
+
+    stars = keep(close.union(led(many, many, 0)).distinct())
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("hash")).union(many.select("hash")).distinct()
+    places = wanted.join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
     held = keep(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *hold(F.col("line"))).dropDuplicates(["node"]))
     release_shuffles(spark)
-    signed = keep(meetings.join(sims(nodes, held), "hash").select("shard", "size", "hash", "sim"))
-    release_shuffles(spark)
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= unlike
-    few, many = signed.filter(F.col("size") <= SMALL), signed.filter(F.col("size") > SMALL)
-    other = few.select("shard", F.col("hash").alias("b"), F.col("sim").alias("b_sim"))
-    close = few.join(other.withColumnRenamed("shard", "b_shard"), (F.col("shard") == F.col("b_shard")) & (F.col("hash") < F.col("b")) & near("sim", "b_sim")).select(F.col("hash").alias("a"), "b")
-    pivots = many.groupBy("shard").agg(F.min("hash").alias("pivot"), F.min_by("sim", "hash").alias("pivot_sim"))
-    led = many.join(pivots, "shard").filter((F.col("hash") != F.col("pivot")) & near("sim", "pivot_sim")).select(F.col("pivot").alias("a"), F.col("hash").alias("b"))
-    links = keep(check(close.union(led).distinct(), held))
-    release_shuffles(spark)
+    links = keep(check(stars, held))
     named = keep(components(links))
-    crowd = many.join(named, F.col("hash") == F.col("node"), "left").select("shard", "hash", "sim", F.coalesce("component", "hash").alias("own"))
-    most = crowd.groupBy("shard", "own").count().groupBy("shard").agg(F.max_by("own", "count").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    split = crowd.join(most, "shard").join(pivots, "shard").filter("hash <> pivot").withColumn("out", F.col("own") != F.col("main")).select("shard", "hash", "sim", "own", "out")
-    left, right = split.filter("out").select(F.col("shard").alias("l_shard"), *[F.col(c).alias(f"l_{c}") for c in ("hash", "sim", "own")]), split.select(F.col("shard").alias("r_shard"), *[F.col(c).alias(f"r_{c}") for c in ("hash", "sim", "own", "out")])
-    cross = left.join(right, (F.col("l_shard") == F.col("r_shard")) & (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & near("l_sim", "r_sim"))
-    more = keep(check(cross.select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b")).distinct(), held))
-    if not more.isEmpty():
-        named = keep(components(links.union(more)))
-    for done in (meetings, signed, held):
+    for turn in range(1, PIVOTS + 1):
+        own = many.join(named, F.col("hash") == F.col("node"), "left").select("shard", "hash", "sim", F.coalesce("component", "hash").alias("own"))
+        most = own.groupBy("shard", "own").count().groupBy("shard").agg(F.max_by("own", "count").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        crowd = keep(own.join(most, "shard").select("shard", "hash", "sim", "own", (F.col("own") != F.col("main")).alias("out")))
+        if turn < PIVOTS:
+            pairs = led(crowd.filter("out"), crowd.filter("not out"), turn)
+        else:  # what no pivot has joined meets all others of its shard
+            left, right = (crowd.select(*[F.col(c).alias(f"{x}_{c}") for c in crowd.columns]) for x in "lr")
+            apart = (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & near(F.col("l_sim"), F.col("r_sim"), F.col("l_shard"))
+            pairs = left.filter("l_out").join(right, (F.col("l_shard") == F.col("r_shard")) & apart).select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b"))
+        more = keep(check(pairs.distinct(), held))
+        drop_kept(crowd)
+        release_shuffles(spark)
+        if not more.isEmpty():
+            links = links.union(more)
+            named = keep(components(links))
+    for done in (meetings, stars, held):
         drop_kept(done)
     release_shuffles(spark)
     rooted = nodes.join(named, F.col("hash") == F.col("node"), "left").filter("component is not null or n > 1")
@@ -236,18 +254,17 @@ def groups(raw: DataFrame, numbered: DataFrame, met: Callable[[DataFrame], DataF
 
 def alike_lines(raw: DataFrame, numbered: DataFrame, whole: bool) -> DataFrame:
     """hash, low: the lines that occur twice or link to another, with their group's first occurrence."""
-    hold = lambda line: [normalise(line).alias("norm"), *comparable(normalise(line), whole)]
+    hold = lambda line: comparable(normalise(line), whole)
 
-    def sharded(nodes: DataFrame) -> DataFrame:
-        dealt = shards(nodes)
-        shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        return keep(dealt.join(shared.hint("shuffle_hash"), "shard").select("shard", "size", "hash"))
+    def near(a: Column, b: Column, shard: Column) -> Column:
+        x = a.bitwiseXOR(b)
+        if not whole:
+            return F.bit_count(x) <= RADIUS
+        unlike = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(sum(1 << 2 * i for i in range(LEAST))))
+        return unlike <= F.when(shard < len(BANDS) << 32, UNLIKE[0]).otherwise(UNLIKE[1])
 
-    if whole:
-        found = groups(raw, numbered, lambda cards: met_in_bands(cards, len(BANDS)), hold, verified, lambda _, held: simhashes(held), UNLIKE)
-    else:
-        found = groups(raw, numbered, sharded, hold, verified, lambda nodes, _: nodes.select("hash", "sim"), RADIUS)
-    found = keep(found)
+    met = (lambda cards: met_in_bands(cards, len(BANDS))) if whole else met_in_blocks
+    found = keep(groups(raw, numbered, met, near, hold, verified))
     low = found.groupBy("group").agg(F.min("first").alias("low"))
     return found.join(low, "group").select("hash", "low")
 
