@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -42,6 +43,9 @@ N_FEATURES = 8
 PRIOR = np.array([-0.5, 0.6, -3.0, 0.8, 0.6, -0.5, -0.5, 0.2])
 
 
+Block = tuple[str, int, tuple[int, int, int], str, int]
+
+
 def evidence(tag: str, attrs: dict[str, str | None]) -> int:
     """1 if an element says it holds the article, -1 if it says it does not, else 0; comments are -2."""
     names = [n for key in ("class", "id") for n in re.split(r"\s+", (attrs.get(key) or "").lower()) if n]
@@ -61,57 +65,72 @@ def evidence(tag: str, attrs: dict[str, str | None]) -> int:
 
 
 class Page(HTMLParser):
-    """Collects blocks: (text, letters in links, letters, path of element numbers, tag, standing)."""
+    """Collects blocks: (text, letters in links, place, tag, standing).
+
+    A place is (depth, depth shared with the block before, number of the element around the innermost one), all
+    counted in block elements; none of it costs more the deeper elements nest.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int]] = []  # tag, number, standing
-        self.n, self.links, self.silent, self.in_link = 0, 0, 0, 0
+        self.path: list[tuple[str, int, int]] = []  # of the block elements: tag, number, place in the stack
+        self.open: Counter[str] = Counter()
+        self.n, self.links, self.silent, self.in_link, self.good, self.shared = 0, 0, 0, 0, 0, 0
         self.buffer: list[str] = []
-        self.blocks: list[tuple[str, int, tuple[int, ...], str, int]] = []
+        self.blocks: list[Block] = []
 
     def flush(self) -> None:
         if not self.buffer:
             return
         text = " ".join("".join(self.buffer).split())
         if text:
-            tag = next((t for t, *_ in reversed(self.stack) if t in BLOCK), "")
-            self.blocks.append((text, min(self.links, len(text)), tuple([n for t, n, _ in self.stack if t in BLOCK]), tag, self.stack[-1][2] if self.stack else 0))
+            depth = len(self.path)
+            place = (depth, self.shared, self.path[-2][1] if depth > 1 else 0)
+            self.blocks.append((text, min(self.links, len(text)), place, self.path[-1][0] if depth else "", self.stack[-1][2] if self.stack else 0))
+            self.shared = depth
         self.buffer, self.links = [], 0
 
     def leave(self, at: int) -> None:
         for t, *_ in self.stack[at:]:
             self.silent -= t in SILENT
             self.in_link -= t == "a"
+            self.good -= t in GOOD_TAGS
+            self.open[t] -= 1
         del self.stack[at:]
+        while self.path and self.path[-1][2] >= at:
+            self.path.pop()
+        self.shared = min(self.shared, len(self.path))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
             around = LOOSE.get(tag)
-            for i in range(len(self.stack) - 1, -1, -1):
-                t = self.stack[i][0]
+            for t, _, i in reversed(self.path):
                 if t == "p" and tag != "br" or around and t == tag or t in ("td", "th") and tag in ("td", "th", "tr") or t in ("dd", "dt") and tag in ("dd", "dt"):
                     self.leave(i)
                     break
-                if around and t in around or not around and t in BLOCK:
+                if not around or t in around:
                     break
-        if tag == "body":
-            self.leave(next((i for i, x in enumerate(self.stack) if x[0] == "head"), len(self.stack)))
+        if tag == "body" and self.open["head"]:
+            self.leave(next(i for i, x in enumerate(self.stack) if x[0] == "head"))
         if tag in VOID:
             return
         self.n += 1
         above, said = (self.stack[-1][2] if self.stack else 0), evidence(tag, dict(attrs))
-        inside = any(t in GOOD_TAGS for t, *_ in self.stack)
-        if tag == "header" and not inside:
+        if tag == "header" and not self.good:
             said = min(said, -1)
         if above == -2 or above == -1 and not (said > 0 and tag in GOOD_TAGS):
             now = min(above, said) if said < 0 else above
         else:
             now = said or above
+        if tag in BLOCK:
+            self.path.append((tag, self.n, len(self.stack)))
         self.stack.append((tag, self.n, now))
+        self.open[tag] += 1
         self.silent += tag in SILENT
         self.in_link += tag == "a"
+        self.good += tag in GOOD_TAGS
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -121,10 +140,8 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.leave(i)
-                return
+        if self.open[tag]:
+            self.leave(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag))
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -133,7 +150,7 @@ class Page(HTMLParser):
                 self.links += len(data.strip())
 
 
-def blocks_of(html: str) -> list[tuple[str, int, tuple[int, ...], str, int]]:
+def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page; a tag that the page's end cuts off is not text."""
     cut = html.rfind("<")
     if cut >= 0 and ">" not in html[cut:] and re.match(r"<(?:[a-zA-Z/!?]|$)", html[cut:]):
@@ -145,7 +162,7 @@ def blocks_of(html: str) -> list[tuple[str, int, tuple[int, ...], str, int]]:
     return page.blocks
 
 
-def features(block: tuple[str, int, tuple[int, ...], str, int]) -> list[float]:
+def features(block: Block) -> list[float]:
     text, links, _, tag, _ = block
     n = len(text)
     return [1.0, math.log1p(text.count(" ") + 1), links / n, float(text[-1] in ".!?:;\"'”»…"), float(tag[:1] == "h" and tag[1:].isdigit()), float(tag == "li"), sum(map(str.isdigit, text)) / n, float("," in text)]
@@ -231,8 +248,8 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
             u = to[e]
 
 
-def label(blocks: list, weights: np.ndarray) -> list[bool]:
-    """True for content."""
+def label(blocks: list[Block], weights: np.ndarray, smooth: float = SMOOTH) -> list[bool]:
+    """True for content; without smoothness each block is judged alone."""
     if not blocks:
         return []
     shape = np.array([features(b) for b in blocks]) @ weights
@@ -243,14 +260,11 @@ def label(blocks: list, weights: np.ndarray) -> list[bool]:
         sink.append(-math.log(max(p, 1e-12)))  # paid when called content
         source.append(-math.log(max(1 - p, 1e-12)))  # paid when called boilerplate
     edges, last = [], {}
-    for i, b in enumerate(blocks):
+    for i, (_, _, (depth, shared, parent), *_) in enumerate(blocks):
         if i:
-            one, two = blocks[i - 1][2], b[2]
-            shared = next((k for k, (x, y) in enumerate(zip(one, two)) if x != y), min(len(one), len(two)))
-            edges.append((i - 1, i, SMOOTH / (1 + len(one) + len(two) - 2 * shared)))
-        parent = b[2][-2:-1]
+            edges.append((i - 1, i, smooth / (1 + blocks[i - 1][2][0] + depth - 2 * shared)))
         if (j := last.get(parent)) is not None and j != i - 1:
-            edges.append((j, i, SMOOTH / 3))
+            edges.append((j, i, smooth / 3))
         last[parent] = i
     return min_cut(source, sink, edges)
 
