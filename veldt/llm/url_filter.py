@@ -13,9 +13,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldt.llm.common import drop_kept, keep
+
 #: (action, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 PROBES = 3
+#: Words of one filter level, at most: 16,384 keys at 16 bits a key.
+MOST_WORDS = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,13 +33,14 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All ``host-suffix + path-prefix`` keys by which a rule could fit: each suffix at a dot, each listed prefix length."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= k, F.substring(path, 1, k)) for k in lengths]))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p))))
+def candidate_keys(host: Column, path: Column, labels: int, lengths: list[int]) -> Column:
+    """All ``host-suffix + path-prefix`` keys by which a rule could fit: suffixes of up to ``labels`` labels, each listed prefix length.
+
+    A rule of few labels never fits by more of them, so a host of many costs no more keys than one of few.
+    """
+    n = F.length(host) - F.length(F.translate(host, ".", "")) + 1
+    each = [F.when((n >= k) & (F.length(path) >= m), F.concat(F.substring_index(host, ".", -k), F.lit("\n"), F.substring(path, 1, m))) for k in range(1, labels + 1) for m in lengths]
+    return F.array_compact(F.array(*each))
 
 
 def _slots(key: Column, level: int, bits: int) -> list[Column]:
@@ -75,8 +80,9 @@ def cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 16) -> l
     """Filter words by level, exact over ``universe`` and ``listed`` (both one string column ``key``).
 
     Sizes follow from counts: level 1 has bits_per_key bits a listed key, a later level as many a key that
-    it encodes. Only keys that the level before let through wrongly are gathered, never the universe.
-    An empty list gives no level. Null keys are not members. Repeated keys count once.
+    it encodes; a level of over MOST_WORDS is refused, since its words travel with the plan. Keys that pass are told
+    from listed ones by one aggregation of both, without a join. An empty list gives no level. Null keys are not
+    members. Repeated keys count once.
     """
     listed = listed.filter("key is not null").distinct()
     good, wrong = listed, universe.filter("key is not null")
@@ -85,10 +91,16 @@ def cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 16) -> l
         n = good.count()
         if n == 0:
             return levels
-        words = _level(good, len(levels), 64 * max(1, math.ceil(n * bits_per_key / 64)))
-        passed = wrong.filter(_passes(F.col("key"), len(levels), words)).distinct()
-        if not levels:  # the only place where the universe is told from the list: among the few keys that pass
-            passed = passed.join(listed, "key", "left_anti")
+        size = max(1, math.ceil(n * bits_per_key / 64))
+        if size > MOST_WORDS:
+            raise ValueError(f"{n} keys need {size} filter words; at most {MOST_WORDS} travel with a plan")
+        words = _level(good, len(levels), 64 * size)
+        passed = wrong.filter(_passes(F.col("key"), len(levels), words)).select("key")
+        if levels:
+            passed = passed.distinct()
+        else:  # the only place where the universe is told from the list
+            both = passed.select("key", F.lit(0).alias("known")).union(listed.select("key", F.lit(1).alias("known")))
+            passed = both.groupBy("key").agg(F.max("known").alias("known")).filter("known = 0").select("key")
         levels.append(words)
         good, wrong = passed, good
 
@@ -110,13 +122,15 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     host, path = url_parts(F.col(f"`{url}`"))
     parts = pages.select(F.col(f"`{page_id}`").alias("page_id"), host.alias("host"), path.alias("path"))
     lengths = sorted({len(p) for _, _, p in rules})
-    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-    universe = keyed.select(F.explode("keys").alias("key"))
+    labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)
+    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
+    universe = keep(keyed.select(F.explode_outer("keys").alias("key")).distinct())  # pages are read once for all levels
     found = {}
     for action in ("block", "allow"):
         names = F.array(*[F.lit(f"{h}\n{p}") for a, h, p in rules if a == action]).cast("array<string>")
         levels = cascade(spark.range(1).select(F.explode(names).alias("key")), universe)
         found[action] = _fits(levels, action)
+    drop_kept(universe)
     ranked = keyed.select("page_id", "host", "path", F.array_sort(F.flatten(F.array(*found.values()))).alias("fits"))
     best = F.get("fits", F.lit(0))
     return ranked.select("page_id", "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit("allow")).alias("verdict"))
