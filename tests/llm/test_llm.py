@@ -138,6 +138,21 @@ def test_digit_share_of_whole_block():
     assert html_text.features(("a" * 5000 + "7" * 5000, 0, (), "p", 0))[6] == 0.5
 
 
+def test_nested_page():
+    page = "<div>" * 20_000 + "<p>One two three.</p>" * 3 + "</div>" * 20_000
+    assert html_text.main_text(page, html_text.PRIOR) == "One two three. One two three. One two three."
+    assert html_text.main_text("<b>" * 20_000 + "<p>One two three." * 20_000, html_text.PRIOR).count("One") == 20_000
+
+
+def test_cut_moves_labels():
+    """A short block between long ones goes with them, one among links does not; judged alone both would be boilerplate."""
+    long, link = "<p>" + "Words of an article, and more of them. " * 5 + "</p>", "<li><a href=x>menu</a></li>"
+    for page, good in ((f"<div>{long}<p>Yes</p>{long}</div>", True), (f"<ul>{link * 3}</ul><p>Yes</p><ul>{link * 3}</ul>", False)):
+        blocks = html_text.blocks_of(page)
+        at = [b[0] for b in blocks].index("Yes")
+        assert not html_text.label(blocks, html_text.PRIOR, 0.0)[at] and html_text.label(blocks, html_text.PRIOR)[at] == good
+
+
 def test_min_cut():
     r = random.Random(6)
     for _ in range(300):
@@ -303,6 +318,15 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_of_many_labels(spark):
+    host = ".".join(["a"] * 50_000) + ".example.net"
+    rows = [(1, f"http://{host}/en/x"), (2, f"http://{host}/de/"), (3, "http://" + "." * 20_000 + "/fr/"), (4, "http://org/fr/")]
+    got = {x.page_id: (x.rule, x.verdict, len(x.host)) for x in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: ("example.net/en/", "allow", len(host)), 2: ("net/", "block", len(host)), 3: (None, "allow", 20_000), 4: ("org/fr/", "allow", 3)}
+    with pytest.raises(ValueError):
+        url_filter.cascade(spark.range(20_000).select(F.col("id").cast("string").alias("key")), spark.range(5).select(F.col("id").cast("string").alias("key")))
+
+
 def test_cascade_is_exact(spark):
     """Small filters let many wrong keys through; the cascade still tells all keys of its universe apart."""
     universe, listed = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key")), spark.range(0, 4000, 37).select(F.concat(F.lit("k"), "id").alias("key"))
@@ -343,6 +367,32 @@ def test_pii(spark):
     assert pii.spans_table(table(spark, []), *pii.train(table(spark, []))).count() == 0
 
 
+def test_pii_of_long_texts(spark):
+    assert pii.base_spans("0" * 5000 + ".1.2.3 " + "9" * 5000 + ".1.2.3") == [("ip", 0, 5006)]
+    text = " ".join(f"x{i}@mail.example.com or 10.0.{i % 200}.7" for i in range(50_000))
+    base = pii.base_spans(text)
+    assert len(base) == 100_000 and pii.find(text, (0.0, []), {k: 0.5 for k in pii.KINDS}, base) == base
+    nested = pii.reach([("email", 0, 100), ("ip", 5, 9), ("ip", 20, 30)])
+    assert pii.crosses(nested, 50, 60) and not pii.crosses(nested, 100, 110) and not pii.crosses(([], []), 0, 9)
+
+
+def test_pii_selects_what_neighbours_hide(spark):
+    """Numbers that stand beside other digits are missed by the base; decoys with a wrong check digit stay out."""
+    r, rows = random.Random(5), []
+    cards = [n for n in range(4929348385146000, 4929348385148000) if pii.luhn(str(n))]
+    for i in range(300):
+        rows += [(5 * i, f"{r.choice(('call', 'so', 'of it', 'tel'))} +1 ({100 + i}) 555-0{100 + i} {r.choice(('or', 'and', '. So'))}"), (5 * i + 1, f"card {cards[i % len(cards)]} end"), (5 * i + 2, f"order {4929348385140001 + i * 7} sent")]
+        rows += [(5 * i + 3, f"host 10.2.{i % 250}.7 is"), (5 * i + 4, f"mail x{i}@mail.example.com")]
+    rows = [x for x in rows if x[0] % 5 != 2 or not pii.luhn(x[1].split()[1])]
+    r.shuffle(rows)
+    model = pii.train(table(spark, rows), sample=len(rows))
+    added = lambda t: sorted(set(pii.find(t, *model, pii.base_spans(t))) - set(pii.base_spans(t)))
+    hidden = [f"so +1 (222) 555-{k:04d} 190.137.22.9" for k in range(100)]
+    assert not any(pii.base_spans(t)[-1][0] == "phone" for t in hidden)
+    assert sum(("phone", 3, 20) in added(t) for t in hidden) >= 90
+    assert not any(added(f"order {n} sent") for n in range(4929348385146300, 4929348385146400))
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
