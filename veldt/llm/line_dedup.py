@@ -38,8 +38,8 @@ BANDS = tuple(tuple((b * 2 + step) % LEAST for step in (0, 5, 11, 22)) for b in
 MASKS = np.random.default_rng(10).integers(-(1 << 31), 1 << 31, LEAST).tolist()
 #: Lines of fewer words meet by words instead of pairs of words, and by threes of characters besides.
 FEW = 10
-#: Of the least hashes' last two bits, how many may differ for a pair to be verified: kind 0, kind 1.
-UNLIKE = (14, 13)
+#: Of the least hashes' last two bits, how many may differ for a pair to be verified, by kind.
+UNLIKE = (10, 13, 14)
 #: Pivots that the lines of a large shard are compared with before the rest are compared with each other.
 PIVOTS = 3
 
@@ -110,8 +110,8 @@ def least_hashes(parts: DataFrame) -> DataFrame:
 def banded_lines(raw: DataFrame) -> DataFrame:
     """doc_id, line_no, hash, kind, sim, b0 ... of the lines that hold anything but white space.
 
-    Kind 0, for every line, is by pairs of neighbouring words, in lines of fewer than FEW words by words; kind 1, for
-    those lines, by threes of neighbouring characters. The outer explode keeps Spark from testing,
+    Kind 0 is by pairs of neighbouring words. Lines of fewer than FEW words have two rows instead: kind 2 by words and
+    kind 1 by threes of neighbouring characters. The outer explode keeps Spark from testing,
     and so computing, the array beforehand.
     """
     split = normal_lines(raw).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("hash"), F.split("norm", " ").alias("ws"))
@@ -120,7 +120,7 @@ def banded_lines(raw: DataFrame) -> DataFrame:
     each = parts.select("doc_id", "line_no", "hash", "n", "parts", F.posexplode_outer("parts").alias("at", "part")).filter("part <> ''")
     chars = F.col("at") >= F.col("n")
     near = [F.when(chars | (F.col("n") >= FEW), F.get("parts", F.col("at") + 1)), F.when(chars, F.get("parts", F.col("at") + 2))]
-    return least_hashes(each.select("doc_id", "line_no", "hash", F.when(chars, 1).otherwise(0).alias("kind"), F.xxhash64("part", *near).alias("h")))
+    return least_hashes(each.select("doc_id", "line_no", "hash", F.when(chars, 1).when(F.col("n") < FEW, 2).otherwise(0).alias("kind"), F.xxhash64("part", *near).alias("h")))
 
 
 def raw_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -199,19 +199,23 @@ def met_in_blocks(cards: DataFrame) -> DataFrame:
 Near = Callable[[Column, Column, Column], Column]
 
 
-def groups(raw: DataFrame, numbered: DataFrame, met: Callable[[DataFrame], DataFrame], near: Near, hold: Callable[[Column], list[Column]], check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def distinct_cards(numbered: DataFrame) -> DataFrame:
+    """hash, kind, first, n and the other columns of (doc_id, line_no, hash, kind ...), a row for each hash and kind."""
+    carried = [c for c in numbered.columns if c not in ("doc_id", "line_no", "hash", "kind")]
+    return numbered.groupBy("hash", "kind").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in carried])
+
+
+def groups(raw: DataFrame, cards: DataFrame, met: Callable[[DataFrame], DataFrame], near: Near, hold: Callable[[Column], list[Column]], check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """hash, group, first: the lines that occur twice or link to another, what names their group, and where they occur first.
 
-    raw: doc_id, line_no, line; numbered: doc_id, line_no, hash, kind and what met needs of a line; every line has a
-    row of kind 0. met: shard, size, hash, sim of the nodes that meet, of the distinct rows by hash and kind; near:
-    whether two sims of a shard are near enough to compare; hold: what a comparison needs of a line; check: the
-    pairs (a, b) of nodes that are alike.
+    raw: doc_id, line_no, line; cards: a kept table of distinct_cards, dropped once read; every line has one row of
+    another kind than 1. met: shard, size, hash, sim of the nodes that meet; near: whether two sims of a shard are
+    near enough to compare; hold: what a comparison needs of a line; check: the pairs (a, b) of nodes that are alike.
     """
     spark = raw.sparkSession
-    carried = [c for c in numbered.columns if c not in ("doc_id", "line_no", "hash", "kind")]
-    cards = keep(numbered.groupBy("hash", "kind").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in carried]))
+    nodes, meetings = keep(cards.filter("kind <> 1").select("hash", "first", "n")), met(cards)
+    drop_kept(cards)
     release_shuffles(spark)
-    nodes, meetings = cards.filter("kind = 0"), met(cards)
     few, many = meetings.filter(F.col("size") <= SMALL), meetings.filter(F.col("size") > SMALL)
     other = few.select(F.col("shard").alias("b_shard"), F.col("hash").alias("b"), F.col("sim").alias("b_sim"))
     close = few.join(other, (F.col("shard") == F.col("b_shard")) & (F.col("hash") < F.col("b")) & near(F.col("sim"), F.col("b_sim"), F.col("shard"))).select(F.col("hash").alias("a"), "b")
@@ -252,7 +256,7 @@ def groups(raw: DataFrame, numbered: DataFrame, met: Callable[[DataFrame], DataF
     return rooted.select("hash", F.coalesce("component", "hash").alias("group"), "first")
 
 
-def alike_lines(raw: DataFrame, numbered: DataFrame, whole: bool) -> DataFrame:
+def alike_lines(raw: DataFrame, cards: DataFrame, whole: bool) -> DataFrame:
     """hash, low: the lines that occur twice or link to another, with their group's first occurrence."""
     hold = lambda line: comparable(normalise(line), whole)
 
@@ -261,10 +265,10 @@ def alike_lines(raw: DataFrame, numbered: DataFrame, whole: bool) -> DataFrame:
         if not whole:
             return F.bit_count(x) <= RADIUS
         unlike = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(sum(1 << 2 * i for i in range(LEAST))))
-        return unlike <= F.when(shard < len(BANDS) << 32, UNLIKE[0]).otherwise(UNLIKE[1])
+        return unlike <= F.when(shard < len(BANDS) << 32, UNLIKE[0]).when(shard < 2 * len(BANDS) << 32, UNLIKE[1]).otherwise(UNLIKE[2])
 
     met = (lambda cards: met_in_bands(cards, len(BANDS))) if whole else met_in_blocks
-    found = keep(groups(raw, numbered, met, near, hold, verified))
+    found = keep(groups(raw, cards, met, near, hold, verified))
     low = found.groupBy("group").agg(F.min("first").alias("low"))
     return found.join(low, "group").select("hash", "low")
 
@@ -280,11 +284,13 @@ def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", who
     raw = raw_lines(df, key, text)
     numbered = keep(banded_lines(raw) if whole else hashed_lines(raw))
     release_shuffles(df.sparkSession)
-    low = alike_lines(raw, numbered, whole)
-    drops = numbered.filter("kind = 0").select("doc_id", "line_no", "hash").join(low, "hash").filter(F.struct("doc_id", "line_no") != F.col("low"))
-    left = keep(drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")))
+    cards, places = keep(distinct_cards(numbered)), keep(numbered.filter("kind <> 1").select("doc_id", "line_no", "hash"))
     drop_kept(numbered)
     release_shuffles(df.sparkSession)
+    drops = places.join(alike_lines(raw, cards, whole), "hash").filter(F.struct("doc_id", "line_no") != F.col("low"))
+    left = keep(drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")))
+    drop_kept(places)
+    release_shuffles(df.sparkSession)
     own, lost, parts = unused(df, "id"), unused(df, "gone"), unused(df, "lines")
     joined = df.join(left.select(F.col("doc_id").alias(own), F.col("gone").alias(lost)), F.col(f"`{key}`") == F.col(own), "left")
     split = joined.withColumn(parts, F.when(F.col(lost).isNotNull(), F.split(F.col(f"`{text}`"), "\n")))
