@@ -94,17 +94,17 @@ def hashed_lines(raw: DataFrame) -> DataFrame:
 
 
 def least_hashes(parts: DataFrame) -> DataFrame:
-    """doc_id, line_no, hash, kind, sim, b0 ...: two bits of each least hash, and a hash of each band of them, of (doc_id, line_no, hash, kind, h), a row for each part's hash h.
+    """doc_id, line_no, hash, kind, sim, b0 ...: two bits of each least hash with the line's length, and a hash of each band of them, of (doc_id, line_no, hash, kind, len, h), a row for each part's hash h.
 
     A least hash is the smallest of 32 bits of the parts' hashes, each from another place on and turned over by another
     mask: bits from one place would put the parts in much the same order again and again.
     """
     bits = [F.shiftright(F.shiftleft("h", i), 32).cast("int") for i in range(LEAST)]
-    found = parts.groupBy("doc_id", "line_no", "hash", "kind").agg(*[F.min(x.bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, (x, m) in enumerate(zip(bits, MASKS, strict=True))])
+    found = parts.groupBy("doc_id", "line_no", "hash", "kind").agg(F.max("len").alias("len"), *[F.min(x.bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, (x, m) in enumerate(zip(bits, MASKS, strict=True))])
     sim = F.lit(0).cast("long")
     for i in range(LEAST):
         sim = sim.bitwiseOR(F.shiftleft(F.hash(f"m{i}").bitwiseAND(3).cast("long"), 2 * i))
-    return found.select("doc_id", "line_no", "hash", "kind", sim.alias("sim"), *[F.hash(*[f"m{i}" for i in band]).alias(f"b{b}") for b, band in enumerate(BANDS)])
+    return found.select("doc_id", "line_no", "hash", "kind", F.struct(sim.alias("bits"), "len").alias("sim"), *[F.hash(*[f"m{i}" for i in band]).alias(f"b{b}") for b, band in enumerate(BANDS)])
 
 
 def banded_lines(raw: DataFrame) -> DataFrame:
@@ -115,12 +115,12 @@ def banded_lines(raw: DataFrame) -> DataFrame:
     and so computing, the array beforehand.
     """
     split = normal_lines(raw).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("hash"), F.split("norm", " ").alias("ws"))
-    sized = split.select("doc_id", "line_no", "norm", "hash", "ws", F.size("ws").cast("int").alias("n"))
-    parts = sized.select("doc_id", "line_no", "hash", "n", F.when(F.col("n") < FEW, F.concat("ws", F.split("norm", ""))).otherwise(F.col("ws")).alias("parts"))
-    each = parts.select("doc_id", "line_no", "hash", "n", "parts", F.posexplode_outer("parts").alias("at", "part")).filter("part <> ''")
+    sized = split.select("doc_id", "line_no", "norm", "hash", "ws", F.size("ws").cast("int").alias("n"), F.length("norm").alias("len"))
+    parts = sized.select("doc_id", "line_no", "hash", "len", "n", F.when(F.col("n") < FEW, F.concat("ws", F.split("norm", ""))).otherwise(F.col("ws")).alias("parts"))
+    each = parts.select("doc_id", "line_no", "hash", "len", "n", "parts", F.posexplode_outer("parts").alias("at", "part")).filter("part <> ''")
     chars = F.col("at") >= F.col("n")
     near = [F.when(chars | (F.col("n") >= FEW), F.get("parts", F.col("at") + 1)), F.when(chars, F.get("parts", F.col("at") + 2))]
-    return least_hashes(each.select("doc_id", "line_no", "hash", F.when(chars, 1).when(F.col("n") < FEW, 2).otherwise(0).alias("kind"), F.xxhash64("part", *near).alias("h")))
+    return least_hashes(each.select("doc_id", "line_no", "hash", "len", F.when(chars, 1).when(F.col("n") < FEW, 2).otherwise(0).alias("kind"), F.xxhash64("part", *near).alias("h")))
 
 
 def raw_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -240,9 +240,13 @@ def groups(raw: DataFrame, cards: DataFrame, met: Callable[[DataFrame], DataFram
         if turn < PIVOTS:
             pairs = led(crowd.filter("out"), crowd.filter("not out"), turn)
         else:  # what no pivot has joined meets all others of its shard
-            left, right = (crowd.select(*[F.col(c).alias(f"{x}_{c}") for c in crowd.columns]) for x in "lr")
+            # a pair meets in the first only of the shards that both stand in
+            homes = crowd.groupBy("hash").agg(F.array_sort(F.collect_set("shard")).alias("homes"))
+            placed = keep(crowd.join(homes, "hash"))
+            left, right = (placed.select(*[F.col(c).alias(f"{x}_{c}") for c in placed.columns]) for x in "lr")
             apart = (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & near(F.col("l_sim"), F.col("r_sim"), F.col("l_shard"))
-            pairs = left.filter("l_out").join(right, (F.col("l_shard") == F.col("r_shard")) & apart).select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b"))
+            first = F.get(F.array_intersect("l_homes", "r_homes"), F.lit(0)) == F.col("l_shard")
+            pairs = left.filter("l_out").join(right, (F.col("l_shard") == F.col("r_shard")) & apart & first).select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b"))
         more = keep(check(pairs.distinct(), held))
         drop_kept(crowd)
         release_shuffles(spark)
@@ -261,11 +265,11 @@ def alike_lines(raw: DataFrame, cards: DataFrame, whole: bool) -> DataFrame:
     hold = lambda line: comparable(normalise(line), whole)
 
     def near(a: Column, b: Column, shard: Column) -> Column:
-        x = a.bitwiseXOR(b)
         if not whole:
-            return F.bit_count(x) <= RADIUS
+            return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
+        x, gap = a["bits"].bitwiseXOR(b["bits"]), F.abs(a["len"] - b["len"]) <= (1 - SIMILAR + 1e-9) * F.greatest(a["len"], b["len"])
         unlike = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(sum(1 << 2 * i for i in range(LEAST))))
-        return unlike <= F.when(shard < len(BANDS) << 32, UNLIKE[0]).when(shard < 2 * len(BANDS) << 32, UNLIKE[1]).otherwise(UNLIKE[2])
+        return gap & (unlike <= F.when(shard < len(BANDS) << 32, UNLIKE[0]).when(shard < 2 * len(BANDS) << 32, UNLIKE[1]).otherwise(UNLIKE[2]))
 
     met = (lambda cards: met_in_bands(cards, len(BANDS))) if whole else met_in_blocks
     found = keep(groups(raw, cards, met, near, hold, verified))
