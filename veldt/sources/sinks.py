@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,22 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Write beside the target, then rename: readers see the old table or the new one, never a part."""
+    """Write beside the target and rename it in; the old table is put aside first, and back if the new one cannot take its place.
+
+    A reader that opens the target between the two renames finds nothing there; it never finds a part.
+    """
     spark = df.sparkSession
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    stage = f"{path}.staging"
-    df.write.mode("overwrite").parquet(stage)
-    target, new = fs_path(path), fs_path(stage)
+    mark = uuid.uuid4().hex
+    target, new, old = fs_path(path), fs_path(f"{path}.new-{mark}"), fs_path(f"{path}.old-{mark}")
+    df.write.parquet(new.toString())
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    held = fs.exists(target)
+    if held and not fs.rename(target, old):
+        raise OSError(f"cannot put {path} aside")
     if not fs.rename(new, target):
+        if held:
+            fs.rename(old, target)
         raise OSError(f"cannot publish {path}")
+    if held:
+        fs.delete(old, True)
