@@ -98,3 +98,66 @@ def collection_merge(spark, d):
     a = table(spark, d, "orders").select(F.lit("order").alias("sensor"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("taken"))
     b = table(spark, d, "lineitem").select(F.lit("item").alias("sensor"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("taken"))
     return a.unionByName(b)
+
+
+@query("src05_masked_to_float", "select event_id, case when event_id % 11 = 0 or floor(value) = 7 then null else floor(value)::double end v from events")
+def masked_to_float(spark, d):
+    masked = (F.col("event_id") % 11 == 0) | (F.floor("value") == 7)
+    return table(spark, d, "events").select("event_id", F.when(masked, None).otherwise(F.floor("value").cast("double")).alias("v"))
+
+
+@query("flt17_region_codes", "select n_nationkey cell, coalesce(a.r_regionkey, b.r_regionkey) code, n_distinct = n_rows one_to_one from nation left join region a on a.r_regionkey = n_regionkey and a.r_name <> 'ASIA' left join region b on b.r_regionkey = n_regionkey cross join (select count(distinct r_regionkey) n_distinct, count(*) n_rows from region)")
+def region_codes(spark, d):
+    r = table(spark, d, "region")
+    unique = r.groupBy("r_regionkey").count().agg((F.max("count") == 1).alias("one_to_one"))
+    named = r.filter("r_name <> 'ASIA'").select(F.col("r_regionkey").alias("a"))
+    found = table(spark, d, "nation").join(F.broadcast(named), F.col("a") == F.col("n_regionkey"), "left").join(F.broadcast(r.select(F.col("r_regionkey").alias("b"))), F.col("b") == F.col("n_regionkey"), "left")
+    return found.select(F.col("n_nationkey").alias("cell"), F.coalesce("a", "b").alias("code")).crossJoin(F.broadcast(unique))
+
+
+@query("flt21_geometry_equal", f"with {GRID}, g as (select 'a' as layer, min(\"row\") r0, max(\"row\") r1, min(\"col\") c0, max(\"col\") c1 from grid union all select 'b', min(\"row\"), max(\"row\"), min(\"col\"), max(\"col\") from grid where \"row\" <= 40) select layer, r0 = (select r0 from g where layer = 'a') and r1 = (select r1 from g where layer = 'a') and c0 = (select c0 from g where layer = 'a') and c1 = (select c1 from g where layer = 'a') aligned from g")
+def geometry_equal(spark, d):
+    extent = lambda g, name: g.agg(*[f(c).alias(f"{c}{k}") for c in ("row", "col") for k, f in enumerate((F.min, F.max))]).select(F.lit(name).alias("layer"), F.struct("row0", "row1", "col0", "col1").alias("geometry"))
+    g = grid(spark, d)
+    template = extent(g, "a").select(F.col("geometry").alias("template"))
+    return extent(g, "a").union(extent(g.filter("row <= 40"), "b")).crossJoin(F.broadcast(template)).select("layer", (F.col("geometry") == F.col("template")).alias("aligned"))
+
+
+@query("flt26_b_type", "select c_custkey cell, c_acctbal > 0 and n is null b_type from customer left join (select o_custkey, count(*) n from orders where o_orderpriority = '1-URGENT' group by 1) on o_custkey = c_custkey")
+def b_type(spark, d):
+    covered = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
+    return table(spark, d, "customer").join(covered, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("c_custkey").alias("cell"), ((F.col("c_acctbal") > 0) & F.col("o_custkey").isNull()).alias("b_type"))
+
+
+@query("join04_lookup", "select c_custkey plot, n_name fold, n_name is not null matched from customer left join nation on n_nationkey = c_nationkey")
+def lookup(spark, d):
+    folds = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("fold"))
+    return table(spark, d, "customer").join(F.broadcast(folds), F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("c_custkey").alias("plot"), "fold", F.col("fold").isNotNull().alias("matched"))
+
+
+@query("agg14_perturbation_agreement", "with x as (select l_returnflag kind, l_quantity::double w, case when l_discount > 0.05 then 'H' when l_discount > 0.02 then 'L' end base, case when l_discount * 1.1 > 0.05 then 'H' when l_discount * 1.1 > 0.02 then 'L' end star from lineitem) select kind, round(sum(case when base = star then w else 0 end) / sum(case when base is not null and star is not null then w end), 8) agreement, round(sum(case when star is not null then w else 0 end) / sum(case when base is not null then w end), 8) retained from x group by 1")
+def perturbation_agreement(spark, d):
+    state = lambda v: F.when(v > 0.05, "H").when(v > 0.02, "L")
+    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("kind"), F.col("l_quantity").cast("double").alias("w"), state(F.col("l_discount")).alias("base"), state(F.col("l_discount") * 1.1).alias("star"))
+    weight = lambda test: F.sum(F.when(test, F.col("w")).otherwise(0.0))
+    both = F.col("base").isNotNull() & F.col("star").isNotNull()
+    return x.groupBy("kind").agg(F.round(weight(F.col("base") == F.col("star")) / weight(both), 8).alias("agreement"), F.round(weight(F.col("star").isNotNull()) / weight(F.col("base").isNotNull()), 8).alias("retained"))
+
+
+#: Fixed value: the quantile whose coverage is judged.
+TAU = 0.95
+
+
+@query("agg22_validation_summary", f"with {SCORED}, f as (select c_nationkey fold, avg(case when y <= p1 * 1.8 then 1.0 else 0.0 end) coverage, avg(greatest({TAU} * (y - p1 * 1.8), ({TAU} - 1) * (y - p1 * 1.8))) pinball from scored group by 1) select round(avg(coverage), 8) coverage_mean, round(stddev_samp(coverage), 8) coverage_sd, round(avg(abs(coverage - {TAU})), 8) abs_error, round(avg(greatest({TAU} - coverage, 0)), 8) undercoverage, round(avg(pinball), 4) pinball from f")
+def validation_summary(spark, d):
+    u = F.col("y") - F.col("p1") * 1.8
+    folds = scored(spark, d).groupBy("c_nationkey").agg(F.avg(F.when(u <= 0, 1.0).otherwise(0.0)).alias("coverage"), F.avg(F.greatest(u * TAU, u * (TAU - 1))).alias("pinball"))
+    gap = F.lit(TAU) - F.col("coverage")
+    return folds.agg(F.round(F.avg("coverage"), 8).alias("coverage_mean"), F.round(F.stddev_samp("coverage"), 8).alias("coverage_sd"), F.round(F.avg(F.abs(gap)), 8).alias("abs_error"), F.round(F.avg(F.greatest(gap, F.lit(0.0))), 8).alias("undercoverage"), F.round(F.avg("pinball"), 4).alias("pinball"))
+
+
+@query("agg23_old_age", f"with {SCORED} select o_orderpriority as cohort, round({TAU} - avg(case when y <= p2 * 1.8 then 1.0 else 0.0 end), 8) coverage_gap, round(avg(greatest({TAU} * (y - p2 * 1.8), ({TAU} - 1) * (y - p2 * 1.8))), 4) pinball, round(avg(p2 * 1.8 - y), 4) bias, round(100 * avg(case when y > p2 * 1.8 then 1.0 else 0.0 end), 6) above from scored group by 1")
+def old_age(spark, d):
+    u = F.col("y") - F.col("p2") * 1.8
+    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
+    return scored(spark, d).groupBy(F.col("o_orderpriority").alias("cohort")).agg(F.round(F.lit(TAU) - share(u <= 0), 8).alias("coverage_gap"), F.round(F.avg(F.greatest(u * TAU, u * (TAU - 1))), 4).alias("pinball"), F.round(F.avg(-u), 4).alias("bias"), F.round(share(u > 0) * 100, 6).alias("above"))
