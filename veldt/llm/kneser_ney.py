@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ from veldt.llm.words import LOWER, words_of
 #: Words of an n-gram. Two by default: README.md has the figures.
 ORDER = 2
 #: n-grams (with repeats) that one file stands for on average, and that a task gathers before it merges or sends them.
-SPAN, FLUSH = 1 << 21, 1 << 22
+SPAN, FLUSH = 1 << 21, 1 << 21
+#: Bytes of text looked at together; a longer text is looked at whole.
+LOOK = 1 << 21
 #: Files mapped by a worker at a time.
 MAPPED = 128
 #: No discount comes nearer to 0, or to the count that it is taken from.
@@ -50,6 +53,16 @@ def gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (context & HIGH) | (mixed(context, word) & ~HIGH)
 
 
+def looks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch by rows, so many at a time that their texts (column 1) have LOOK bytes, one at least."""
+    size = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < b.num_rows:
+        z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + LOOK)))
+        yield b.slice(a, z - a)
+        a = z
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes with an end after each text, place of each text's first token, the text's tokens)."""
     n, flat = words_of(column, LOWER)
@@ -128,7 +141,7 @@ def counted(batches: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterato
         for row in (*blocks(order, bits, *by_first([*ctx, ends], n)), *blocks(0, bits, [distinct], total)):
             yield batch_of([row], BLOCK_FIELDS)
 
-    for b in batches:
+    for b in (x for batch in batches for x in looks(batch)):
         words, starts, _ = tokens(b.column(1))
         if len(words):
             held.append((contexts(words, starts, order), words))
@@ -183,12 +196,16 @@ def merged(held: list[list[np.ndarray]], keys: int) -> list[np.ndarray]:
 
 
 def merge_file(batches: Iterator[pa.RecordBatch], level: int, bits: int, folder: str) -> Iterator[pa.RecordBatch]:
-    """One file of a level: its sorted arrays are written, its figures and the blocks of the level below returned."""
-    keys = level if level > 1 else 1
+    """One file of a level: its sorted arrays are written, its figures and the blocks of the level below returned.
+
+    Words counted beside n-grams of a higher order come as a group of their own and are merged for later.
+    """
     held: list[list[np.ndarray]] = []
-    size, file = 0, 0
+    size, file, keys, words = 0, 0, max(level, 1), False
     for b in batches:
         for kind, file, n, block in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if kind == 0 and level > 1:
+                keys, words = 1, True
             cols = unpacked(n, block, keys + 1)
             if level == 1:  # continuations, raw count
                 none = np.zeros(n, np.uint64)
@@ -201,6 +218,10 @@ def merge_file(batches: Iterator[pa.RecordBatch], level: int, bits: int, folder:
                 if size > FLUSH:  # distinct ones: wait until there are as many again
                     size = FLUSH
     cols = merged(held, keys)
+    if words:
+        for row in blocks(0, bits, cols[:1], cols[1:]):
+            yield batch_of([(*row, *[0] * 7)], BLOCK_FIELDS + STAT_FIELDS)
+        return
     count = cols[keys]
     of = [int((count == i).sum()) for i in (1, 2, 3, 4)]
     if level == 1:
@@ -257,22 +278,19 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(0, math.ceil(math.log2(max(1, letters / 6 / SPAN)))))
     folder = local_path(spark)
-    now = keep(docs.mapInArrow(lambda x: counted(x, order, bits), BLOCK))
-    words, figures = now.filter("level = 0"), {}
-    held = [now]
+    counts, figures, held = docs.mapInArrow(lambda x: counted(x, order, bits), BLOCK), {}, []
     for level in range(order, 0, -1):
-        rows = now.filter(F.col("level") == level).select("level", "file", "n", "block")
-        if level == 1:
-            rows = rows.union(words)
-        now = keep(rows.groupBy("file").applyInArrow(merger(level, bits, folder), f"{BLOCK}, {STATS}"))
-        held.append(now)
-        sums = now.filter(F.col("level") == level).agg(*[F.sum(f"s{i}") for i in range(7)]).first()
+        if held:
+            rows = held[-1].filter(F.col("level") == level).select("level", "file", "n", "block")
+            groups = (rows.union(held[0].filter("level = 0").select(rows.columns)) if level == 1 else rows).groupBy("file")
+        else:
+            groups = counts.groupBy("level", "file")
+        held.append(keep(groups.applyInArrow(merger(level, bits, folder), f"{BLOCK}, {STATS}")))
+        sums = held[-1].filter(F.col("level") == level).agg(*[F.sum(f"s{i}") for i in range(7)]).first()
         figures[level] = [x or 0 for x in sums]
-        if level == order:
-            release_shuffles(spark)
+        release_shuffles(spark)
     for df in held:
         drop_kept(df)
-    release_shuffles(spark)
     n1, n2, _, _, kinds, total, count = figures[1]
     return {"folder": folder, "order": order, "bits": bits, "discounts": {m: discounts(*f[:4]) for m, f in figures.items()}, "ones": (n1, n2, kinds - n1 - n2), "total": total, "tokens": count, "words": kinds}
 
@@ -347,10 +365,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        for b in batches:
+        for b in (x for batch in batches for x in looks(batch)):
             words, starts, n = tokens(b.column(1))
-            if not len(n):
-                continue
             p, count, plain = reader.scores(words, starts)
             known = np.add.reduceat((count > 0).astype(np.int64), starts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(known), pa.array(np.add.reduceat(plain, starts)), pa.array(np.add.reduceat(p, starts))], [c.split(" ")[0] for c in SCORES.split(", ")])
