@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veldt.operators.ranges import count_at_least
+
 
 def hinges(spark: SparkSession, first: int, last: int, margin: int) -> DataFrame:
     """tau, t, h, hh, proj: projected hinges for candidates first + margin - 1 ... last - margin, for full series."""
@@ -48,11 +50,9 @@ def hinge_fits(series: DataFrame, first: int, last: int, margin: int = 5) -> Dat
 
 
 def exceedance(observed: DataFrame, null: DataFrame, draws: int) -> DataFrame:
-    """observed (cell, stat) with k = #{null >= stat} and p = (1 + k) / (draws + 1).
+    """observed (cell, stat) with k = #{null >= stat} and p = (1 + k) / (draws + 1); a null stat has neither.
 
-    The null's counts from each level up form one sorted array of bounded size (draws), searched in place.
+    Both sides are counted by value and ranked together by ranges, so draws and cells may be of any number.
     """
-    held = null.agg(F.array_sort(F.collect_list("stat")).alias("sorted"))
-    joined = observed.join(F.broadcast(held))
-    k = F.size(F.filter("sorted", lambda x: x >= F.col("stat")))
-    return joined.select("cell", "stat", k.cast("long").alias("k"), ((1 + k) / F.lit(float(draws + 1))).alias("p"))
+    k = count_at_least(observed.select("cell", "stat"), null.select("stat"))
+    return k.select("cell", "stat", F.col("k").cast("long").alias("k"), ((1 + F.col("k")) / F.lit(float(draws + 1))).alias("p"))

@@ -6,24 +6,27 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.operators import ranges
+
 
 def knots(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
     """x, y, x1, y1: n percentile pairs of two columns, one y an x, monotone, with the next knot beside each."""
     shares = [i / (n - 1) for i in range(n)]
-    both = df.agg(F.percentile(x, F.array(*map(F.lit, shares))).alias("xs"), F.percentile(y, F.array(*map(F.lit, shares))).alias("ys"))
-    flat = both.select(F.explode(F.arrays_zip("xs", "ys")).alias("k")).groupBy(F.col("k.xs").alias("x")).agg(F.avg("k.ys").alias("y"))
+    xs = ranges.quantiles(df, x, shares).select("share", F.col("q").alias("x"))
+    ys = ranges.quantiles(df, y, shares).select("share", F.col("q").alias("qy"))
+    flat = xs.join(F.broadcast(ys), "share").groupBy("x").agg(F.avg("qy").alias("y"))  # n rows at most
     up = Window.partitionBy(F.lit(1)).orderBy("x")  # n rows at most
     return flat.select("x", F.max("y").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("y")).select("x", "y", F.lead("x").over(up).alias("x1"), F.lead("y").over(up).alias("y1"))
 
 
 def apply_map(df: DataFrame, p: str, table: DataFrame) -> DataFrame:
     """df with ``mapped``: piecewise linear between knots, flat beyond. The knots travel as one array, searched in place."""
-    k = table.agg(F.array_sort(F.collect_list(F.struct("x", "y", "x1", "y1"))).alias("ks"))
-    at = F.element_at(F.filter("ks", lambda q: q["x"] <= F.col(p)), -1)
+    k = table.agg(F.array_sort(F.collect_list(F.struct("x", "y", "x1", "y1"))).alias("__ks"))
+    held = F.filter("__ks", lambda q: q["x"] <= F.col(p))
+    joined = df.join(F.broadcast(k)).withColumn("__at", F.get(held, F.size(held) - 1))  # looked up once a row
+    at, low = F.col("__at"), F.get(F.col("__ks"), F.lit(0))
     inside = F.when(at["x1"].isNull(), at["y"]).otherwise(at["y"] + (F.col(p) - at["x"]) / (at["x1"] - at["x"]) * (at["y1"] - at["y"]))
-    low = F.get(F.col("ks"), F.lit(0))
-    joined = df.join(F.broadcast(k)).withColumn("mapped", F.when(F.col(p) < low["x"], low["y"]).otherwise(inside))
-    return joined.drop("ks")
+    return joined.withColumn("mapped", F.when(F.col(p) < low["x"], low["y"]).otherwise(inside)).drop("__ks", "__at")
 
 
 def domain(df: DataFrame, cols: list[str]) -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veldt.operators.nearest import nearest_other
+from veldt.operators.ranges import quantiles
 from veldt.operators.series import pack
 from veldt.operators.simulate import pixel_bootstrap, supf_null
 from veldt.plans.cubes import GRID, SERIES, ZONES, grid, series, zones
@@ -69,15 +71,8 @@ def level_lookup(spark, d):
 
 @query("join18_nn", "select a.s_suppkey, round(min(abs(a.s_acctbal - b.s_acctbal)), 6) gap from supplier a join supplier b on a.s_suppkey <> b.s_suppkey group by 1")
 def nearest(spark, d):
-    """Nearest other value along one axis: its neighbours in the order, within range buckets whose edges are carried over."""
-    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.floor(F.col("s_acctbal") / 500).alias("b"))
-    edges = s.groupBy("b").agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"))
-    dim = Window.partitionBy(F.lit(1)).orderBy("b")  # one row a bucket
-    edges = edges.select("b", F.lag("hi").over(dim).alias("below"), F.lead("lo").over(dim).alias("above"))
-    w = Window.partitionBy("b").orderBy("s_acctbal", "s_suppkey")
-    j = s.withColumn("p", F.lag("s_acctbal").over(w)).withColumn("n", F.lead("s_acctbal").over(w)).join(F.broadcast(edges), "b")
-    v = F.col("s_acctbal")
-    return j.select("s_suppkey", F.round(F.least(v - F.coalesce("p", "below"), F.coalesce("n", "above") - v), 6).alias("gap"))
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return nearest_other(s, ["s_acctbal"], "s_suppkey").select("s_suppkey", F.round("distance", 6).alias("gap"))
 
 
 @query("join21_three_keys", "select o_custkey, year(o_orderdate)::int y, o_orderstatus, count(*) n from orders join lineitem on l_orderkey = o_orderkey and year(l_shipdate) = year(o_orderdate) group by 1, 2, 3")
@@ -101,7 +96,8 @@ def tuning(spark, d):
 @query("agg45_age_distribution", "select min(p_size) lo, max(p_size) hi, round(quantile_cont(p_size, 0.1), 6) q10, round(quantile_cont(p_size, 0.95), 6) q95, count(*) filter (where p_size >= 40) old, max(p_size) filter (where p_size < 48) below from part")
 def age_distribution(spark, d):
     s = F.col("p_size")
-    return table(spark, d, "part").agg(F.min(s).alias("lo"), F.max(s).alias("hi"), F.round(F.percentile(s, 0.1), 6).alias("q10"), F.round(F.percentile(s, 0.95), 6).alias("q95"), F.count_if(s >= 40).alias("old"), F.max(F.when(s < 48, s)).alias("below"))
+    q = quantiles(table(spark, d, "part"), "p_size", [0.1, 0.95]).agg(F.round(F.min("q"), 6).alias("q10"), F.round(F.max("q"), 6).alias("q95"))
+    return table(spark, d, "part").join(F.broadcast(q)).agg(F.min(s).alias("lo"), F.max(s).alias("hi"), F.max("q10").alias("q10"), F.max("q95").alias("q95"), F.count_if(s >= 40).alias("old"), F.max(F.when(s < 48, s)).alias("below"))
 
 
 @query("win11_family_bh", "with p as (select event_type fam, user_id, (1 + count(*))/200e0 p from events group by 1, 2), l as (select fam, p, count(*) k from p group by 1, 2), r as (select *, p*sum(k) over (partition by fam)/sum(k) over (partition by fam order by p)::double raw from l), q as (select fam, p, least(1, min(raw) over (partition by fam order by p desc)) q from r) select fam, user_id, round(q, 6) q from p join q using (fam, p)")

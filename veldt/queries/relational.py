@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions.scalars import bits_clear, clean, draw, normalised_difference
 from veldt.operators.calibrate import apply_map, distance, domain, in_range, knots
+from veldt.operators.ranges import quantiles
 from veldt.plans.cubes import SERIES, ZONES, series, zones
 from veldt.queries import query
 from veldt.sources.sinks import key_value, scaled_int
@@ -189,7 +190,9 @@ def weighted_region(spark, d):
 def profile(spark, d):
     cols = ["l_quantity", "l_discount", "l_tax"]
     u = table(spark, d, "lineitem").select(*cols).unpivot([], cols, "variable", "v")
-    return u.groupBy("variable").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.round(F.percentile("v", 0.05), 6).alias("q05"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.round(F.percentile("v", 0.95), 6).alias("q95"), F.max("v").alias("hi"), F.round(F.stddev_samp("v"), 6).alias("sd"))
+    q = quantiles(u, "v", [0.05, 0.5, 0.95], ["variable"]).groupBy("variable").pivot("share", [0.05, 0.5, 0.95]).agg(F.first("q")).toDF("variable", "q05", "median", "q95")
+    s = u.groupBy("variable").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("hi"), F.round(F.stddev_samp("v"), 6).alias("sd"))
+    return s.join(F.broadcast(q), "variable").select("variable", "n", "lo", *[F.round(c, 6).alias(c) for c in ("q05", "median", "q95")], "mean", "hi", "sd")
 
 
 @query("agg25_pooled_summary", "select coalesce(l_returnflag, 'pooled') flag, count(*) n, round(avg(l_quantity), 6) mean, round(stddev_samp(l_quantity), 6) sd, median(l_quantity) median, quantile_cont(l_quantity, 0.25) q25, quantile_cont(l_quantity, 0.75) q75 from lineitem group by grouping sets ((l_returnflag), ())")
@@ -219,7 +222,8 @@ def cv(spark, d):
 
 @query("agg31_q7", "select c_mktsegment, round(quantile_cont(c_acctbal, 0.025), 6) low, round(quantile_cont(c_acctbal, 0.975), 6) high from customer group by 1")
 def q7(spark, d):
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.round(F.percentile("c_acctbal", 0.025), 6).alias("low"), F.round(F.percentile("c_acctbal", 0.975), 6).alias("high"))
+    q = quantiles(table(spark, d, "customer"), "c_acctbal", [0.025, 0.975], ["c_mktsegment"])
+    return q.groupBy("c_mktsegment").agg(F.round(F.max(F.when(F.col("share") < 0.5, F.col("q"))), 6).alias("low"), F.round(F.max(F.when(F.col("share") > 0.5, F.col("q"))), 6).alias("high"))
 
 
 @query("agg32_q1", "select c_mktsegment, quantile_disc(c_acctbal, 0.25) q25, quantile_disc(c_acctbal, 0.75) q75 from customer group by 1")
@@ -404,7 +408,7 @@ def ood_gate(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", *FEATS)
     old = li.filter("year(l_shipdate) < 1999")
     ref = domain(old, FEATS)
-    limit = old.agg(F.percentile(distance(ref), 0.975).alias("limit"))
+    limit = quantiles(old.select(distance(ref).alias("far")), "far", [0.975]).select(F.col("q").alias("limit"))
     new = li.filter("year(l_shipdate) >= 1999").join(F.broadcast(limit))
     return new.select("l_orderkey", "l_linenumber", in_range(ref).alias("in_range"), F.when(in_range(ref), distance(ref) <= F.col("limit")).alias("near"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldt.functions.scalars import Z90, Z95, Z99, two_sided
+from veldt.operators import ranges
 from veldt.operators.blocks import interval, weights
 from veldt.operators.spatial import QUEEN, ROOK, circle, focal_square, gi_star, moran_from, moran_sums, neighbours, patches
 from veldt.plans.cubes import GRID, grid, tail
@@ -113,13 +114,15 @@ def block_metadata(spark, d):
 
 @query("stat44_moran_permutation", None)
 def permutation(spark, d):
-    """Plus-one p of 49 permutations: values are re-dealt among cells by keyed ranks."""
+    """Plus-one p of 199 permutations: values are re-dealt among cells by keyed ranks, taken by ranges and not by one task a permutation."""
     from veldt.functions.scalars import draw
 
-    g = grid(spark, d).filter("v is not null").select("row", "col", "v")
-    reps = F.explode(F.sequence(F.lit(1), F.lit(49)))
-    to = g.select("row", "col", reps.alias("rep")).withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("row", "col")))
-    frm = g.select("row", "col", "v", reps.alias("rep")).withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(draw("perm", F.col("rep"), F.col("row"), F.col("col")), "row", "col"))).select("rep", "k", "v")
+    g = grid(spark, d).filter("v is not null").select("row", "col", "v", F.lit(1).alias("one"))
+    dealt = g.select("row", "col", "v", "one", F.explode(F.sequence(F.lit(1), F.lit(199))).alias("rep"))
+    at = ranges.running_sum(ranges.by_ranges(g.withColumn("key", F.struct("row", "col")), [], "key"), [], "one", "k", "n").select("row", "col", "k")
+    to = at.select("*", F.explode(F.sequence(F.lit(1), F.lit(199))).alias("rep"))
+    drawn = dealt.withColumn("key", F.struct(draw("perm", F.col("rep"), F.col("row"), F.col("col")), "row", "col"))
+    frm = ranges.running_sum(ranges.by_ranges(drawn, ["rep"], "key"), ["rep"], "one", "k", "n").select("rep", "k", "v")
     s = moran_sums(to.join(frm, ["rep", "k"]).select("rep", "row", "col", "v"), QUEEN, ["rep"])
     i = s.select(moran_from(*[F.col(c) for c in ("n", "sx", "sxx", "w", "xx", "xs")]).alias("ip"))
     obs = moran(spark, d).select("i", "n")

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in spark.checkpoint.dir; only where a session names none, as in tests, in a folder of our own."""
+    """checkpoint() in spark.checkpoint.dir; only a local master may name none, as in tests, and gets a folder of its own."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='veldt-')}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = f"file://{tempfile.mkdtemp(prefix='veldt-')}"
+        sc.setCheckpointDir(named)
     return df.checkpoint()
