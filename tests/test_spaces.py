@@ -40,6 +40,14 @@ def test_count_at_least(many_parts):
     assert {x.cell: x.k for x in got} == {i: None if v is None else sum(n >= v for (n,) in null) for i, v in seen}
 
 
+def test_count_at_least_by_group(many_parts):
+    r = random.Random(21)
+    null = [(r.choice(("a", "b", None)), float(r.randrange(9))) for _ in range(150)]
+    seen = [(i, r.choice(("a", "b", None, "none")), r.choice((float(r.randrange(9)), None))) for i in range(60)]
+    got = ranges.count_at_least(many_parts.createDataFrame(seen, "i int, g string, stat double"), many_parts.createDataFrame(null, "g string, stat double"), by=["g"]).collect()
+    assert {x.i: x.k for x in got} == {i: None if v is None else sum(h == g and n >= v for h, n in null) for i, g, v in seen}
+
+
 def test_levels_over_ranges(many_parts):
     """One family far larger than a range, by the step-up rule."""
     r = random.Random(3)

@@ -56,3 +56,14 @@ def exceedance(observed: DataFrame, null: DataFrame, draws: int) -> DataFrame:
     """
     k = count_at_least(observed.select("cell", "stat"), null.select("stat"))
     return k.select("cell", "stat", F.col("k").cast("long").alias("k"), ((1 + F.col("k")) / F.lit(float(draws + 1))).alias("p"))
+
+
+def hinge_residuals(series: DataFrame, fits: DataFrame, first: int, last: int, margin: int = 5) -> DataFrame:
+    """cell, t, v, fitted, resid of the fitted hinges: the residuals of a line, less the step times the projected hinge."""
+    x = F.col("t") - (first + last) / 2
+    cell = Window.partitionBy("cell")
+    rest = F.col("v") - F.avg("v").over(cell) - F.regr_slope("v", x).over(cell) * x
+    line = series.select("cell", "t", "v").withColumn("r", rest).join(fits.select("cell", "tau", (F.col("slope_after") - F.col("slope_before")).alias("step")), "cell")
+    h = hinges(series.sparkSession, first, last, margin).select("tau", "t", "h")
+    resid = F.col("r") - F.col("step") * F.col("h")
+    return line.join(F.broadcast(h), ["tau", "t"]).select("cell", "t", "v", (F.col("v") - resid).alias("fitted"), resid.alias("resid"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.functions.scalars import draw
+from veldt.operators.breaks import hinge_fits, hinge_residuals
 from veldt.operators.calibrate import apply_map
 
 
@@ -42,9 +43,7 @@ def lag1_of_residuals(series: DataFrame, by: list[str]) -> DataFrame:
     """by, rho: the lag-1 correlation of the residuals of a straight line; null where they have no variance."""
     c = Window.partitionBy(*by)
     e = F.col("v") - F.regr_intercept("v", "t").over(c) - F.regr_slope("v", "t").over(c) * F.col("t")
-    r = series.select(*by, "t", e.alias("e")).withColumn("f", F.lead("e").over(c.orderBy("t"))).filter("f is not null")
-    below = F.sqrt(F.sum(F.col("e") * F.col("e")) * F.sum(F.col("f") * F.col("f")))
-    return r.groupBy(*by).agg(F.when(below > 0, F.sum(F.col("e") * F.col("f")) / below).alias("rho"))
+    return lag1(series.select(*by, "t", e.alias("resid")), by)
 
 
 def isotonic(table: DataFrame, x: str, y: str) -> DataFrame:
@@ -63,12 +62,27 @@ def isotonic(table: DataFrame, x: str, y: str) -> DataFrame:
     return table.withColumn("__i", F.row_number().over(w)).join(iso, "__i").drop("__i")
 
 
-def bias_map(spark, grid: list[float], draws: int, first: int, last: int, tag: str = "bias") -> DataFrame:
-    """true_rho, estimated, iso: what the residuals of known series say of their rho (median over draws), made monotone."""
-    known = spark.createDataFrame([(r,) for r in grid], "rho double")
+def lag1(residuals: DataFrame, by: list[str], e: str = "resid") -> DataFrame:
+    """by, rho: the lag-1 correlation of residuals that are given."""
+    r = residuals.select(*by, F.col(e).alias("e"), F.lead(e).over(Window.partitionBy(*by).orderBy("t")).alias("f")).filter("f is not null")
+    below = F.sqrt(F.sum(F.col("e") * F.col("e")) * F.sum(F.col("f") * F.col("f")))
+    return r.groupBy(*by).agg(F.when(below > 0, F.sum(F.col("e") * F.col("f")) / below).alias("rho"))
+
+
+def bias_map(spark, grid: list[float], draws: int, first: int, last: int, tag: str = "bias", margin: int | None = None) -> DataFrame:
+    """true_rho, estimated, iso: what the residuals of known series say of their rho (median over draws), made monotone.
+
+    Residuals are those of a line, or of the best hinge at ``margin`` if one is given.
+    """
+    known = spark.createDataFrame([(i, r) for i, r in enumerate(grid)], "g int, rho double")
     number = spark.range(1, draws + 1).select(F.col("id").alias("draw"))
-    series = ar1_series(number.crossJoin(F.broadcast(known)), first, last, tag).withColumnRenamed("rho", "true_rho")
-    seen = lag1_of_residuals(series, ["true_rho", "draw"])
+    series = ar1_series(number.crossJoin(F.broadcast(known)), first, last, tag)
+    series = series.select((F.col("g") * F.lit(draws + 1) + F.col("draw")).alias("cell"), F.col("rho").alias("true_rho"), "t", "v")
+    if margin is None:
+        seen = lag1_of_residuals(series, ["true_rho", "cell"])
+    else:
+        rest = hinge_residuals(series.select("cell", "t", "v"), hinge_fits(series.select("cell", "t", "v"), first, last, margin), first, last, margin)
+        seen = lag1(rest, ["cell"]).join(F.broadcast(known.select("g", F.col("rho").alias("true_rho"))), F.floor(F.col("cell") / (draws + 1)) == F.col("g"))
     middle = seen.groupBy("true_rho").agg(F.median("rho").alias("estimated"))
     return isotonic(middle, "true_rho", "estimated")
 

@@ -61,16 +61,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df.drop(PART, AT)
 
 
-def count_at_least(observed: DataFrame, reference: DataFrame, value: str = "stat") -> DataFrame:
-    """observed with k, the number of reference rows whose value is not below its own; a null value has a null k.
+def count_at_least(observed: DataFrame, reference: DataFrame, value: str = "stat", by: list[str] = ()) -> DataFrame:
+    """observed with k, the number of reference rows of its group whose value is not below its own; a null value has a null k.
 
     Both sides are counted by value, so a value that many rows share is one row of the ranges.
     """
-    both = reference.select(value, F.lit(1).alias("n")).union(observed.select(value, F.lit(0).alias("n"))).filter(F.col(value).isNotNull())
-    levels = both.groupBy(value).agg(F.sum("n").alias("n"))
-    ranked = running_sum(by_ranges(levels, [], value), [], "n", "upto", "all")
-    k = ranked.select(F.col(value).alias("__v"), (F.col("all") - F.col("upto") + F.col("n")).alias("k"))
-    return observed.join(k, F.col(value) == F.col("__v"), "left").drop("__v")
+    by = list(by)
+    both = reference.select(*by, value, F.lit(1).alias("n")).union(observed.select(*by, value, F.lit(0).alias("n"))).filter(F.col(value).isNotNull())
+    levels = both.groupBy(*by, value).agg(F.sum("n").alias("n"))
+    ranked = running_sum(by_ranges(levels, by, value), by, "n", "upto", "all")
+    k = ranked.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(value).alias("__v"), (F.col("all") - F.col("upto") + F.col("n")).alias("k"))
+    on = [F.col(value) == F.col("__v"), *[observed[c].eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)]]
+    return observed.join(k, reduce(lambda x, y: x & y, on), "left").drop("__v", *[f"__k{i}" for i in range(len(by))])
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] = ()) -> DataFrame:

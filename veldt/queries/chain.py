@@ -144,12 +144,9 @@ def rho_sensitivity(spark, d):
     """Breaks found with no, the raw and the corrected autocorrelation in the null, under both step-up rules."""
     one = corrected(spark, d)
     rhos = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), c.alias("rho")) for n, c in (("zero", F.lit(0.0)), ("raw", F.col("rho")), ("corrected", F.col("corrected")))])).alias("x")).select("x.scenario", "x.rho")
-    nulls = cut(null_stats(spark, rhos, ["scenario"]))
-    fits = cut(hinge_fits(yearly(spark, d), FIRST, LAST).select("cell", F.col("supf").alias("stat")))
-    out = None
-    for name in ("zero", "raw", "corrected"):
-        p = exceedance(fits, nulls.filter(F.col("scenario") == name), B_NULL).withColumn("scenario", F.lit(name))
-        out = p if out is None else out.union(p)
+    fits = hinge_fits(yearly(spark, d), FIRST, LAST).select("cell", F.col("supf").alias("stat"))
+    asked = cut(fits.crossJoin(F.broadcast(rhos.select("scenario"))))
+    out = ranges.count_at_least(asked, null_stats(spark, rhos, ["scenario"]), by=["scenario"]).withColumn("p", (1 + F.col("k")) / float(B_NULL + 1))
     q = fdr.adjust(out.select("scenario", "cell", "p"), ["scenario"])
     return q.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("q_bh") < 0.05).alias("n_bh"), F.count_if(F.col("q_by") < 0.05).alias("n_by"))
 
