@@ -36,8 +36,9 @@ NARROW = 32_000
 LEAST = 32
 BANDS = tuple(tuple((b * 2 + step) % LEAST for step in (0, 5, 11, 22)) for b in range(LEAST // 2))
 MASKS = np.random.default_rng(10).integers(-(1 << 31), 1 << 31, LEAST).tolist()
-#: Lines of fewer words meet by words instead of pairs of words, and by threes of characters besides.
-FEW = 10
+#: Lines of fewer words meet by words instead of pairs of words; lines of at most MANY words meet by threes of characters
+#: besides, so that similar lines on both sides of FEW have a kind in common.
+FEW, MANY = 10, 16
 #: Of the least hashes' last two bits, how many may differ for a pair to be verified, by kind.
 UNLIKE = (10, 13, 14)
 #: Pivots that the lines of a large shard are compared with before the rest are compared with each other.
@@ -110,16 +111,16 @@ def least_hashes(parts: DataFrame) -> DataFrame:
 def banded_lines(raw: DataFrame) -> DataFrame:
     """doc_id, line_no, hash, kind, sim, b0 ... of the lines that hold anything but white space.
 
-    Kind 0 is by pairs of neighbouring words. Lines of fewer than FEW words have two rows instead: kind 2 by words and
-    kind 1 by threes of neighbouring characters. The outer explode keeps Spark from testing,
+    Kind 0 is by pairs of neighbouring words; lines of fewer than FEW words have kind 2, by words, instead. Lines of at
+    most MANY words also have kind 1, by threes of neighbouring characters. The outer explode keeps Spark from testing,
     and so computing, the array beforehand.
     """
     split = normal_lines(raw).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("hash"), F.split("norm", " ").alias("ws"))
     sized = split.select("doc_id", "line_no", "norm", "hash", "ws", F.size("ws").cast("int").alias("n"), F.length("norm").alias("len"))
-    parts = sized.select("doc_id", "line_no", "hash", "len", "n", F.when(F.col("n") < FEW, F.concat("ws", F.split("norm", ""))).otherwise(F.col("ws")).alias("parts"))
+    parts = sized.select("doc_id", "line_no", "hash", "len", "n", F.when(F.col("n") <= MANY, F.concat("ws", F.split("norm", ""))).otherwise(F.col("ws")).alias("parts"))
     each = parts.select("doc_id", "line_no", "hash", "len", "n", "parts", F.posexplode_outer("parts").alias("at", "part")).filter("part <> ''")
     chars = F.col("at") >= F.col("n")
-    near = [F.when(chars | (F.col("n") >= FEW), F.get("parts", F.col("at") + 1)), F.when(chars, F.get("parts", F.col("at") + 2))]
+    near = [F.when(chars | ((F.col("n") >= FEW) & (F.col("at") + 1 < F.col("n"))), F.get("parts", F.col("at") + 1)), F.when(chars, F.get("parts", F.col("at") + 2))]
     return least_hashes(each.select("doc_id", "line_no", "hash", "len", F.when(chars, 1).when(F.col("n") < FEW, 2).otherwise(0).alias("kind"), F.xxhash64("part", *near).alias("h")))
 
 
