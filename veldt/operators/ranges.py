@@ -29,9 +29,9 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 
 def carried(placed: DataFrame, by: list[str], start: DataFrame) -> DataFrame:
     """placed with the columns of start, which has a row for each range and family."""
-    right = start.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate([PART, *by])], *[c for c in start.columns if c not in (PART, *by)])
-    on = reduce(lambda x, y: x & y, [placed[k].eqNullSafe(right[f"__{i}"]) for i, k in enumerate([PART, *by])])
-    return placed.join(right, on).drop(*[f"__{i}" for i in range(len(by) + 1)])
+    right = start.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate([PART, *by])], *[c for c in start.columns if c not in (PART, *by)])
+    on = reduce(lambda x, y: x & y, [placed[k].eqNullSafe(right[f"__key{i}"]) for i, k in enumerate([PART, *by])])
+    return placed.join(right, on).drop(*[f"__key{i}" for i in range(len(by) + 1)])
 
 
 def _family(by: list[str]) -> list[Column]:
@@ -41,20 +41,20 @@ def _family(by: list[str]) -> list[Column]:
 def running_sum(placed: DataFrame, by: list[str], value: str, name: str, total: str) -> DataFrame:
     """placed with the sum of value up to each row, in order, and the family's total."""
     local = Window.partitionBy(PART, *by).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
-    held = placed.groupBy(PART, *by).agg(F.sum(value).alias("__t"))
+    held = placed.groupBy(PART, *by).agg(F.sum(value).alias("__held"))
     family = Window.partitionBy(*_family(by))
-    before = F.sum("__t").over(family.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
-    start = held.select(PART, *by, F.coalesce(before, F.lit(0)).alias("__c"), F.sum("__t").over(family).alias(total))
-    return carried(placed.withColumn(name, F.sum(value).over(local)), by, start).withColumn(name, F.col(name) + F.col("__c")).drop("__c")
+    before = F.sum("__held").over(family.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
+    start = held.select(PART, *by, F.coalesce(before, F.lit(0)).alias("__carry"), F.sum("__held").over(family).alias(total))
+    return carried(placed.withColumn(name, F.sum(value).over(local)), by, start).withColumn(name, F.col(name) + F.col("__carry")).drop("__carry")
 
 
 def suffix_min(placed: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """placed with the least value from each row on, in order."""
     local = Window.partitionBy(PART, *by).orderBy(F.desc(AT)).rowsBetween(Window.unboundedPreceding, 0)
-    held = placed.groupBy(PART, *by).agg(F.min(value).alias("__t"))
-    after = F.min("__t").over(Window.partitionBy(*_family(by)).orderBy(PART).rowsBetween(1, Window.unboundedFollowing))
-    start = held.select(PART, *by, after.alias("__c"))
-    return carried(placed.withColumn(name, F.min(value).over(local)), by, start).withColumn(name, F.least(name, "__c")).drop("__c")
+    held = placed.groupBy(PART, *by).agg(F.min(value).alias("__held"))
+    after = F.min("__held").over(Window.partitionBy(*_family(by)).orderBy(PART).rowsBetween(1, Window.unboundedFollowing))
+    start = held.select(PART, *by, after.alias("__carry"))
+    return carried(placed.withColumn(name, F.min(value).over(local)), by, start).withColumn(name, F.least(name, "__carry")).drop("__carry")
 
 
 def settled(df: DataFrame) -> DataFrame:
