@@ -1,20 +1,34 @@
-"""Cutting lineage in the folder that all executors share."""
+"""The folder that all executors share: cutting lineage, and places for tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local master may name none, as in tests, and gets a folder of its own."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='veldt-')}"
+    sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; nothing is made there yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in spark.checkpoint.dir; only a local master may name none, as in tests, and gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            named = f"file://{tempfile.mkdtemp(prefix='veldt-')}"
-        sc.setCheckpointDir(named)
+    """checkpoint() in the shared folder: lineage ends there, and a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
