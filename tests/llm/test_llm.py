@@ -327,6 +327,16 @@ def test_url_of_many_labels(spark):
         url_filter.cascade(spark.range(20_000).select(F.col("id").cast("string").alias("key")), spark.range(5).select(F.col("id").cast("string").alias("key")))
 
 
+def test_cascade_of_a_large_universe(spark):
+    """Two listed keys among two million: level 1 grows with the universe, so that later levels stay small."""
+    universe = spark.range(2_000_000).select(F.concat(F.lit("host"), "id").alias("key"))
+    levels = url_filter.cascade(universe.filter("key in ('host7', 'host1999999')"), universe)
+    assert 64 * len(levels[0]) >= url_filter._bits_for(2, 1024 / 2_000_000) and all(len(w) <= url_filter.MOST_WORDS for w in levels)
+    got = {r.key for r in universe.filter(url_filter.member(F.col("key"), levels)).collect()}
+    assert got == {"host7", "host1999999"}
+    assert url_filter._bits_for(2, 1024 / 24_000_000) < url_filter._bits_for(2, 1024 / 10**15) < 64 * url_filter.MOST_WORDS
+
+
 def test_cascade_is_exact(spark):
     """Small filters let many wrong keys through; the cascade still tells all keys of its universe apart."""
     universe, listed = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key")), spark.range(0, 4000, 37).select(F.concat(F.lit("k"), "id").alias("key"))
@@ -550,3 +560,13 @@ def test_line_dedup_across_word_counts(spark):
     got = {x.doc_id: x.text for x in line_dedup.fuzzy_line_dedup(table(spark, rows), whole=True).collect()}
     assert all(got[i] == t for i, t in rows[::2])
     assert sum(got[i] == "" for i, _ in rows[1::2]) >= 0.9 * len(rows) / 2
+
+
+def test_html_names_of_page_and_article():
+    """Names on body describe the page; a discussion inside an article is part of it, readers' comments are not."""
+    pages = [
+        '<html class="has-comments"><body class="single comments-open notice"><article><p>The text of the article stands here, in full.</p></article></body></html>',
+        '<body><article><p>The first part of a paper is here.</p><section id="discussion"><p>Its discussion follows, at some length.</p></section><div class="comments"><p>Nice paper, thanks.</p></div></article><section id="discussion"><p>I do not agree at all.</p></section></body>',
+    ]
+    got = [html_text.main_text(h, html_text.PRIOR) for h in pages]
+    assert got == ["The text of the article stands here, in full.", "The first part of a paper is here. Its discussion follows, at some length."]

@@ -46,12 +46,21 @@ PRIOR = np.array([-0.5, 0.6, -3.0, 0.8, 0.6, -0.5, -0.5, 0.2])
 Block = tuple[str, int, tuple[int, int, int], str, int]
 
 
-def evidence(tag: str, attrs: dict[str, str | None]) -> int:
-    """1 if an element says it holds the article, -1 if it says it does not, else 0; comments are -2."""
+#: Names of readers' comments; inside an article a discussion is a part of it.
+COMMENTS = frozenset("comment comments disqus reply replies respond responses discussion".split())
+
+
+def evidence(tag: str, attrs: dict[str, str | None], article: bool = False) -> int:
+    """1 if an element says it holds the article, -1 if it says it does not, else 0; comments are -2.
+
+    Names on body and html describe the page and decide nothing. article: whether the element is inside an article.
+    """
     names = [n for key in ("class", "id") for n in re.split(r"\s+", (attrs.get(key) or "").lower()) if n]
     words = [[w for w in re.split(r"[-_]+", n) if w] for n in names]
     said = [w for ws in words if not ABOUT.intersection(ws) for w in ws]
-    if any(w in ("comment", "comments", "disqus", "reply", "replies", "respond", "responses", "discussion") for w in said):
+    if article:
+        said = [w for w in said if w != "discussion"]
+    if tag not in ("body", "html") and any(w in COMMENTS for w in said):
         return -2
     if tag in GOOD_TAGS:
         return 1
@@ -117,7 +126,7 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         self.n += 1
-        above, said = (self.stack[-1][2] if self.stack else 0), evidence(tag, dict(attrs))
+        above, said = (self.stack[-1][2] if self.stack else 0), evidence(tag, dict(attrs), bool(self.good))
         if tag == "header" and not self.good:
             said = min(said, -1)
         if above == -2 or above == -1 and not (said > 0 and tag in GOOD_TAGS):

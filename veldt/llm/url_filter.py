@@ -20,6 +20,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 PROBES = 3
 #: Words of one filter level, at most: 16,384 keys at 16 bits a key.
 MOST_WORDS = 4096
+#: Keys of the universe that may pass level 1 wrongly, about.
+MOST_PASS = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,6 +59,11 @@ def _level(keys: DataFrame, level: int, bits: int) -> list[int]:
     return words
 
 
+def _bits_for(keys: int, share: float) -> float:
+    """Bits of a filter of ``keys`` that other keys pass with probability ``share``."""
+    return 0.0 if share >= 1 else PROBES * keys / -math.log1p(-(share ** (1 / PROBES)))
+
+
 def _passes(key: Column, level: int, words: list[int]) -> Column:
     held = F.array(*[F.lit(w) for w in words]).cast("array<long>")
     out = F.lit(True)
@@ -79,8 +86,9 @@ def member(key: Column, levels: list[list[int]]) -> Column:
 def cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 16) -> list[list[int]]:
     """Filter words by level, exact over ``universe`` and ``listed`` (both one string column ``key``).
 
-    Sizes follow from counts: level 1 has bits_per_key bits a listed key, a later level as many a key that
-    it encodes; a level of over MOST_WORDS is refused, since its words travel with the plan. Keys that pass are told
+    Sizes follow from counts: a level has bits_per_key bits a key that it encodes, and level 1 at least so many that
+    no more than MOST_PASS keys of the universe are likely to pass it wrongly; a level of over MOST_WORDS is refused,
+    since its words travel with the plan, which only a list of over 16,384 keys can bring about. Keys that pass are told
     from listed ones by one aggregation of both, without a join. An empty list gives no level. Null keys are not
     members. Repeated keys count once.
     """
@@ -92,6 +100,8 @@ def cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 16) -> l
         if n == 0:
             return levels
         size = max(1, math.ceil(n * bits_per_key / 64))
+        if not levels:
+            size = max(size, min(MOST_WORDS, math.ceil(_bits_for(n, MOST_PASS / max(1, wrong.count())) / 64)))
         if size > MOST_WORDS:
             raise ValueError(f"{n} keys need {size} filter words; at most {MOST_WORDS} travel with a plan")
         words = _level(good, len(levels), 64 * size)
