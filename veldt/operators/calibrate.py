@@ -29,14 +29,24 @@ def apply_map(df: DataFrame, p: str, table: DataFrame) -> DataFrame:
     return joined.withColumn("mapped", F.when(F.col(p) < low["x"], low["y"]).otherwise(inside)).drop("__ks", "__at")
 
 
-def domain(df: DataFrame, cols: list[str]) -> dict:
-    """Centre, scale, range and inverse covariance of z-scores: p x p sums are all that reaches the driver."""
-    first = df.agg(*[f(c).alias(f"{k}_{c}") for c in cols for k, f in (("m", F.avg), ("s", F.stddev_samp), ("lo", F.min), ("hi", F.max))]).first()
+def domain(df: DataFrame, cols: list[str], ridge: float = 1e-4) -> dict:
+    """Centre, scale, range and inverse covariance of z-scores over the complete rows: p x p sums are all that reaches the driver.
+
+    A column without variance has scale 1; an ill-conditioned covariance gets its pseudo-inverse; fewer than
+    max(3, p + 1) complete rows are an error.
+    """
+    full = df
+    for c in cols:
+        full = full.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf")))
+    first = full.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in cols for k, f in (("m", F.avg), ("s", F.stddev_samp), ("lo", F.min), ("hi", F.max))]).first()
+    if first.n < max(3, len(cols) + 1):
+        raise ValueError(f"{first.n} complete rows are too few for {len(cols)} predictors")
     m, s, lo, hi = ([first[f"{k}_{c}"] for c in cols] for k in ("m", "s", "lo", "hi"))
+    s = [x or 1.0 for x in s]
     z = [(F.col(c) - a) / b for c, a, b in zip(cols, m, s, strict=True)]
-    cov = df.agg(*[F.covar_samp(z[i], z[j]).alias(f"c{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]).first()
-    full = np.array([[cov[f"c{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))]) + 1e-4 * np.eye(len(cols))
-    return {"cols": cols, "centre": m, "scale": s, "low": lo, "high": hi, "inverse": np.linalg.pinv(full) if np.linalg.cond(full) > 1e8 else np.linalg.inv(full)}
+    cov = full.agg(*[F.covar_samp(z[i], z[j]).alias(f"c{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]).first()
+    whole = np.array([[cov[f"c{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))]) + ridge * np.eye(len(cols))
+    return {"cols": cols, "centre": m, "scale": s, "low": lo, "high": hi, "inverse": np.linalg.pinv(whole) if np.linalg.cond(whole) > 1e8 else np.linalg.inv(whole)}
 
 
 def distance(ref: dict):
