@@ -175,6 +175,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document's ids and of the bytes decoded from them; see round_trip() for nulls and repeats."""
     import public_tokenizers
 
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -199,4 +199,5 @@ def clean(df: DataFrame, items: DataFrame, budget: float = BUDGET, text: str = "
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a whole document holds within its edit budget; see find_items() for nulls, repeats and empty tables."""
     return find_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -194,4 +194,5 @@ OUT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are; a null text counts as empty."""
     return against_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -327,4 +327,5 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None, page_id: str =
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null or empty html gives an empty text, repeated rows and null ids stay."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -305,6 +305,7 @@ def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", who
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that repeat, or nearly repeat, an earlier one; see fuzzy_line_dedup() for nulls, ties and repeats."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     after = fuzzy_line_dedup(docs, whole=True)
     return after.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -203,6 +203,7 @@ def scored(df: DataFrame, model, text: str = "text") -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by the rule ensemble fitted on labelled rows that are not held out; an empty text is scored like any other."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_table(docs, model)

@@ -205,4 +205,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents by three-word SimHash and the groups within three bits; nulls count as empty, rows with repeated or null ids as in the operator."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

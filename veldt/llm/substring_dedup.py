@@ -259,5 +259,6 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once 100-byte repeats of earlier text go; a null text counts as empty."""
     done = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

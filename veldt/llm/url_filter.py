@@ -147,6 +147,7 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url; see judge() for nulls, malformed urls, ties and repeats."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
