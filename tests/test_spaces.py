@@ -108,15 +108,17 @@ def test_nearest_edges(spark, cloud):
     assert nearest.nearest_other(points(spark, cloud[:1]), ["x", "y"], "id").first().distance is None
 
 
-def test_nearest_compares_few(spark):
-    """Pairs compared stay far below all pairs."""
-    r = random.Random(6)
-    df = points(spark, [(i, r.random(), r.random(), "a") for i in range(4000)])
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    out = nearest.nearest_other(df, ["x", "y"], "id")
-    assert out.count() == 4000
-    seen = nearest.Pivots(np.zeros((64, 2)), [None] * 64)
-    assert len(list(seen.blocks(np.zeros((200_000, 2))))) > 1  # a matrix is never held whole
+def test_nearest_of_many(spark):
+    """Thousands of places against plain distances, and a distance matrix that is never held whole."""
+    r = np.random.default_rng(6)
+    xy = r.random((3000, 2)) ** 3
+    df = points(spark, [(i, float(x), float(y), "a") for i, (x, y) in enumerate(xy)])
+    got = {x.id: x.distance for x in nearest.nearest_other(df, ["x", "y"], "id").collect()}
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose([got[i] for i in range(3000)], d.min(1))
+    held = nearest.Pivots(np.zeros((64, 2)), [None] * 64)
+    assert all(m.size <= nearest.MATRIX for _, m in held.blocks(np.zeros((200_000, 2))))
 
 
 RINGS = [
