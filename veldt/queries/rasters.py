@@ -113,8 +113,8 @@ p as (select k, x.row r1, x.col c1, y.row r2, y.col c2, x.v i, y.v j from d, g x
 m as (select t.row, t.col, k, i::double i, j::double j, count(*)::double m from g t join bw on abs(r1 - t.row) <= 3 and abs(r2 - t.row) <= 3 and abs(c1 - t.col) <= 3 and abs(c2 - t.col) <= 3 group by all),
 q as (select *, m/sum(m) over (partition by row, col, k) p from m),
 e as (select row, col, k, sum(p*(i-j)^2) c, sum(p*abs(i-j)) ds, sum(p*p) a, -sum(p*ln(p)) en, sum(p*i*i) - sum(p*i)^2 var, sum(p*i*j) - sum(p*i)^2 cov from q group by 1, 2, 3)
-select row, col, round(avg(c), 9) contrast, round(avg(ds), 9) dissimilarity, round(avg(a), 9) asm, round(avg(en), 9) + 0e0 entropy, round(avg(var), 9) variance, round(avg(case when var > 1e-9 then cov/var end), 9) correlation from e group by 1, 2""")
+select row, col, round(avg(c) + 1e-12, 9) contrast, round(avg(ds) + 1e-12, 9) dissimilarity, round(avg(a) + 1e-12, 9) asm, round(avg(en) + 1e-12, 9) entropy, round(avg(var) + 1e-12, 9) variance, round(avg(case when var > 1e-9 then cov/var end) + 1e-12, 9) correlation from e group by 1, 2""")
 def texture(spark, d):
-    """Six measures of co-occurrence in squares of seven cells around every cell."""
+    """Six measures of co-occurrence in squares of seven cells around every cell; a hair is added so that halves round alike."""
     g = scene(spark, d).select("row", "col", F.floor(F.col("a") / 100).alias("v"))
-    return raster.texture(g).select("row", "col", *[(F.round(c, 9) + 0.0).alias(c) for c in ("contrast", "dissimilarity", "asm", "entropy", "variance", "correlation")])
+    return raster.texture(g).select("row", "col", *[F.round(F.col(c) + 1e-12, 9).alias(c) for c in ("contrast", "dissimilarity", "asm", "entropy", "variance", "correlation")])
