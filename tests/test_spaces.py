@@ -121,6 +121,24 @@ def test_nearest_of_many(spark):
     assert all(m.size <= nearest.MATRIX for _, m in held.blocks(np.zeros((200_000, 2))))
 
 
+def test_nearest_pairs_are_no_rows(spark, monkeypatch):
+    """A place sent to a cell is one row, whatever the cell holds; many cells and slices of them against plain distances."""
+    monkeypatch.setattr(nearest, "SLICE", 50)
+    monkeypatch.setattr(nearest, "CELL", 40)
+    r = np.random.default_rng(7)
+    xy = r.random((900, 2))
+    group = (xy[:, 0] * 3).astype(int)  # whole cells of one group
+    rows = [(i, float(x), float(y), int(g)) for i, ((x, y), g) in enumerate(zip(xy, group, strict=True))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, g long")
+    sent = spark.createDataFrame([(x, y, g, math.inf, 0) for _, x, y, g in rows], "a0 double, a1 double, g long, u double, cell int")
+    one = nearest.met(sent, df.selectExpr("x s0", "y s1", "g", "id", "0 cell"), 2).collect()
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    d[group[:, None] == group[None]] = np.inf
+    assert len(one) == 900 and sorted(x.distance for x in one) == pytest.approx(sorted(d.min(1)))
+    got = {x.id: (x.nn, x.distance) for x in nearest.nearest(df, df, ["x", "y"], "id", "g").collect()}
+    assert all(got[i] == (d[i].argmin(), pytest.approx(d[i].min())) for i in range(900))
+
+
 RINGS = [
     ("square", "outer", [(0, 0), (10, 0), (10, 10), (0, 10)]),
     ("square", "hole", [(3, 3), (7, 3), (7, 7), (3, 7)]),

@@ -1,10 +1,11 @@
 """Exact nearest neighbours in a space of a few dimensions, without comparing all pairs.
 
-Some of the sites, chosen by a keyed hash, become pivots, and every site joins the cell of its nearest pivot. A query is
-first compared with its home cell. The distance found there, or to a pivot, bounds the search: by the triangle
-inequality only cells, and rings of cells, within that bound can hold anything nearer, and the query is sent to these
-alone. The number of pivots grows with the root of the number of sites, so the pairs compared grow less than with
-the square. Sites and queries at one place are one row, so that a place which many rows share costs no more.
+Sites are dealt to cells of about CELL each by the splits of a k-d tree, which come from a sample of them; any splits
+give the same result. Each place asked from first meets the cell whose box is nearest to it. The distance found there
+bounds the search: only cells whose box is within it can hold anything nearer, and the place is sent to these alone.
+Places are sent in slices, so neither a cell nor a slice grows with the data, and pairs of places are compared inside a
+task and never become rows. Sites and queries at one place are one row, so that a place which many rows share costs no
+more.
 """
 
 from __future__ import annotations
@@ -19,10 +20,14 @@ from pyspark.sql import functions as F
 
 from veldt.sources.shared import cut
 
-#: Pivots at most: they travel with the tasks (16 bytes a pivot and dimension), and so does a range for each.
-MOST_PIVOTS = 2048
+#: Sites of a cell, on average, and cells at most: their boxes travel with the tasks (16 bytes a cell and dimension).
+CELL, MOST_CELLS = 1024, 4096
+#: Sites a cell that the splits are chosen from; they reach the driver.
+SAMPLE = 16
+#: Places that are sent to a cell at a time, on average.
+SLICE = 4096
 #: Entries of a distance matrix that a task holds at a time.
-MATRIX = 1 << 22
+MATRIX = 1 << 20
 SLACK = 1e-9
 
 
@@ -43,79 +48,157 @@ def _places(df: DataFrame, cols: list[str], to: str, group: str | None, name: st
     return rows.groupBy(*keys).agg(F.min("id").alias("id")) if name else rows.distinct()
 
 
+def splits(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dimension, value) of the 2^depth - 1 inner nodes of a k-d tree, level by level: medians along the widest side."""
+    dim, at, parts = [], [], [sample]
+    for _ in range(depth):
+        below = []
+        for p in parts:
+            k = int(np.ptp(p, axis=0).argmax()) if len(p) else 0
+            m = float(np.median(p[:, k])) if len(p) else 0.0
+            dim.append(k)
+            at.append(m)
+            below += [p[p[:, k] <= m], p[p[:, k] > m]]
+        parts = below
+    return np.array(dim, np.int64), np.array(at)
+
+
+def leaf(x: np.ndarray, dim: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The leaf of each row of x."""
+    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(depth):
+        node = 2 * node + 1 + (x[rows, dim[node]] > at[node])
+    return (node - (2**depth - 1)).astype(np.int32)
+
+
 class Pivots:
-    """Distances to the pivots, a bounded block of rows at a time."""
+    """Distances to the sites of a cell, a bounded block of rows at a time; with the places' groups, infinite to a site of the own group."""
 
     def __init__(self, points: np.ndarray, groups: list):
-        self.points, self.groups = points, np.array([object() if g is None else g for g in groups], dtype=object)
+        self.points = points
+        self.code = {g: i for i, g in enumerate(dict.fromkeys(g for g in groups if not pd.isna(g)))}
+        self.groups = np.array([-2 if pd.isna(g) else self.code[g] for g in groups])
 
-    def blocks(self, x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    def blocks(self, x: np.ndarray, groups: pd.Series | None = None) -> Iterator[tuple[slice, np.ndarray]]:
+        own = np.array([self.code.get(g, -1) for g in groups], np.int64) if groups is not None else None
         step = max(1, MATRIX // max(1, len(self.points)))
         for a in range(0, len(x), step):
             part = x[a : a + step]
             d = np.zeros((len(part), len(self.points)))
             for k in range(x.shape[1]):
-                d += (part[:, k, None] - self.points[None, :, k]) ** 2
+                gap = part[:, k, None] - self.points[None, :, k]
+                d += gap * gap
+            np.sqrt(d, out=d)
+            if own is not None:
+                d[own[a : a + step, None] == self.groups[None, :]] = np.inf
+            yield slice(a, a + len(part)), d
+
+
+class Boxes:
+    """Distances from places to the boxes of the cells; infinite to a cell whose sites are all of the place's own group."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, only: list):
+        self.low, self.high = low, high
+        self.code = {g: i for i, g in enumerate(dict.fromkeys(g for g in only if g is not None))}
+        self.only = np.array([-2 if g is None else self.code[g] for g in only])
+
+    def blocks(self, x: np.ndarray, groups: pd.Series) -> Iterator[tuple[slice, np.ndarray]]:
+        own = np.array([self.code.get(g, -1) for g in groups], np.int64)
+        step = max(1, MATRIX // max(1, len(self.low)))
+        for a in range(0, len(x), step):
+            part, d = x[a : a + step], np.zeros((len(x[a : a + step]), len(self.low)))
+            for k in range(x.shape[1]):
+                out = np.maximum(np.maximum(self.low[None, :, k] - part[:, k, None], part[:, k, None] - self.high[None, :, k]), 0.0)
+                d += out * out
+            d[own[a : a + step, None] == self.only[None, :]] = np.inf
             yield slice(a, a + len(part)), np.sqrt(d)
 
 
+def met(sent: DataFrame, placed: DataFrame, dims: int) -> DataFrame:
+    """a0.., g, u, cell, id, distance: the nearest site of another group (least id on ties) in the cell that each place is sent to.
+
+    sent: a0.., g, u, cell, checkpointed; placed: s0.., g, id, cell. A cell that more than SLICE places are sent to
+    meets them in slices. A place that finds none has a null id.
+    """
+    a, s = [f"a{i}" for i in range(dims)], [f"s{i}" for i in range(dims)]
+    kind, id_kind = sent.schema["g"].dataType.simpleString(), placed.schema["id"].dataType.simpleString()
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = x[[*a, "g", "u", "cell"]].assign(id=None, distance=np.nan)
+        if not len(x) or not len(y):
+            return out
+        y = y.sort_values("id", kind="stable")
+        best, least = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for i, d in Pivots(y[s].to_numpy(float), list(y["g"])).blocks(x[a].to_numpy(float), x["g"]):
+            best[i], least[i] = d.argmin(1), d.min(1)
+        found = np.isfinite(least)
+        ids = y["id"].to_numpy(object)[best]
+        ids[~found] = None
+        return out.assign(id=ids, distance=np.where(found, least, np.nan))
+
+    counts = sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    asked = sent.join(F.broadcast(counts), "cell").select(*a, "g", "u", "cell", F.pmod(F.xxhash64(*a, "g"), F.col("slices")).cast("int").alias("slice"))
+    held = placed.join(F.broadcast(counts), "cell").select(*s, "g", "id", "cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    row = f"{', '.join(f'{c} double' for c in a)}, g {kind}, u double, cell int, id {id_kind}, distance double"
+    pairs = asked.groupBy("cell", "slice").cogroup(held.groupBy("cell", "slice")).applyInPandas(compare, row)
+    return pairs.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+
+
 def search(asks: DataFrame, sites: DataFrame, dims: int) -> DataFrame:
     """a0.., g, nn, distance: for each place asked from, the nearest site of another group (least id on ties).
 
-    asks: a0.., g; sites: s0.., g, id; both one row a place and group. A null group is no group. An ask for which
-    there is no site has no row.
+    asks: a0.., g; sites: s0.., g, id; both one row a place and group, and sites checkpointed. A null group is no group.
+    An ask for which there is no site has no row.
     """
     a, s = [f"a{i}" for i in range(dims)], [f"s{i}" for i in range(dims)]
     kind, id_kind = asks.schema["g"].dataType.simpleString(), sites.schema["id"].dataType.simpleString()
     n = sites.count()
     if n == 0:
         return asks.limit(0).select(*a, "g", F.lit(None).cast(id_kind).alias("nn"), F.lit(None).cast("double").alias("distance"))
-    chosen = sites.orderBy(F.xxhash64(*s, "id"), "id").limit(min(MOST_PIVOTS, int(np.ceil(np.sqrt(n))))).collect()
-    pivots = Pivots(np.array([[r[c] for c in s] for r in chosen]), [r.g for r in chosen])
+    depth = int(np.ceil(np.log2(min(MOST_CELLS, max(1.0, n / CELL)))))
+    chosen = sites.filter(F.pmod(F.xxhash64(*s, "id"), F.lit(n)) < SAMPLE * 2**depth).select(*s).collect() if depth else []
+    dim, at = splits(np.array([list(r) for r in chosen]).reshape(-1, dims), depth)
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cell, r = np.zeros(len(b), np.int32), np.zeros(len(b))
-            for at, d in pivots.blocks(b[s].to_numpy()):
-                cell[at], r[at] = d.argmin(1), d.min(1)
-            yield b.assign(cell=cell, r=r)
+            yield b.assign(cell=leaf(b[s].to_numpy(float), dim, at, depth))
 
-    placed = cut(sites.mapInPandas(home, f"{', '.join(f'{c} double' for c in s)}, g {kind}, id {id_kind}, cell int, r double"))
-    ranges = {r.cell: (r.lo, r.hi) for r in placed.groupBy("cell").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
-    low = np.array([ranges.get(i, (np.inf, 0.0))[0] for i in range(len(chosen))])
-    high = np.array([ranges.get(i, (np.inf, 0.0))[1] for i in range(len(chosen))])
+    placed = sites.select(*s, "g", "id").mapInPandas(home, f"{', '.join(f'{c} double' for c in s)}, g {kind}, id {id_kind}, cell int")
+    edges = [f(c).alias(f"{name}_{c}") for c in s for name, f in (("low", F.min), ("high", F.max))]
+    one = F.when((F.count("g") == F.count(F.lit(1))) & (F.min("g") == F.max("g")), F.min("g")).alias("only")
+    cells = placed.groupBy("cell").agg(*edges, one).orderBy("cell").collect()
+    number = np.array([r.cell for r in cells], np.int32)
+    boxes = Boxes(np.array([[r[f"low_{c}"] for c in s] for r in cells]), np.array([[r[f"high_{c}"] for c in s] for r in cells]), [r.only for r in cells])
+    middle = (boxes.low + boxes.high) / 2
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cell, u, g = np.zeros(len(b), np.int32), np.zeros(len(b)), b["g"].to_numpy(object)
-            for at, d in pivots.blocks(b[a].to_numpy()):
-                cell[at] = d.argmin(1)
-                own = (g[at][:, None] == pivots.groups[None, :]).astype(bool)
-                u[at] = np.where(own, np.inf, d).min(1)
-            yield b.assign(cell=cell, u=u)
+            cell, u, x = np.zeros(len(b), np.int32), np.zeros(len(b)), b[a].to_numpy(float)
+            for i, d in boxes.blocks(x, b["g"]):
+                best = d.argmin(1)
+                inside = (d == 0).sum(1) > 1  # of the boxes around a place the one whose middle is nearest
+                if inside.any():
+                    off = ((x[i][inside, None, :] - middle[None]) ** 2).sum(2)
+                    best[inside] = np.where(d[inside] == 0, off, np.inf).argmin(1)
+                cell[i], u[i] = number[best], d.min(1)
+            yield b.assign(u=np.inf, cell=cell)[np.isfinite(u)]
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at, d in pivots.blocks(b[a].to_numpy()):
-                part = b.iloc[at]
-                u, near = part["u"].to_numpy() * (1 + SLACK), d.min(1)
-                least = np.maximum(np.maximum(d - high, low - d), (d - near[:, None]) / 2)
-                row, cell = np.nonzero((least <= u[:, None]) & np.isfinite(low)[None, :] & (np.arange(d.shape[1])[None, :] != part["cell"].to_numpy()[:, None]))
-                yield part.iloc[row].assign(cell=cell.astype(np.int32), d=d[row, cell])[[*a, "g", "u", "cell", "d"]]
-
-    row = f"{', '.join(f'{c} double' for c in a)}, g {kind}"
-    other = F.col("q.g").isNull() | F.col("p.g").isNull() | (F.col("q.g") != F.col("p.g"))
-    sent = asks.select(*a, "g").mapInPandas(first, f"{row}, cell int, u double")
-    found = F.min(F.struct(F.col("distance"), F.col("id"))).alias("best")
-    at_home = sent.alias("q").join(placed.alias("p"), (F.col("q.cell") == F.col("p.cell")) & other).select(*[F.col(f"q.{c}") for c in (*a, "g")], F.col("p.id").alias("id"), far("a", "s", dims).alias("distance"))
-    at_home = at_home.groupBy(*a, "g").agg(found)
-    key = reduce(lambda x, y: x & y, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*a, "g")])
-    both = cut(sent.alias("x").join(at_home.alias("y"), key, "left").select(*[F.col(f"x.{c}") for c in (*a, "g", "cell")], F.least("x.u", "y.best.distance").alias("u"), "y.best"))
-    wide = both.select(*a, "g", "cell", "u").mapInPandas(others, f"{row}, u double, cell int, d double")
-    ring = F.abs(F.col("p.r") - F.col("q.d")) <= F.col("q.u") * (1 + SLACK)
-    abroad = wide.alias("q").join(placed.alias("p"), (F.col("q.cell") == F.col("p.cell")) & ring & other).select(*[F.col(f"q.{c}") for c in (*a, "g")], F.col("p.id").alias("id"), far("a", "s", dims).alias("distance"))
-    every = abroad.select(*a, "g", F.struct("distance", "id").alias("best")).union(both.filter("best is not null").select(*a, "g", "best"))
-    return every.groupBy(*a, "g").agg(F.min("best").alias("best")).select(*a, "g", F.col("best.id").alias("nn"), F.col("best.distance").alias("distance"))
+            for i, d in boxes.blocks(b[a].to_numpy(float), b["g"]):
+                part = b.iloc[i]
+                near = (d <= part["u"].to_numpy()[:, None] * (1 + SLACK)) & np.isfinite(d) & (number[None, :] != part["cell"].to_numpy()[:, None])
+                row, cell = np.nonzero(near)
+                yield part.iloc[row].assign(cell=number[cell])[[*a, "g", "u", "cell"]]
+
+    row = f"{', '.join(f'{c} double' for c in a)}, g {kind}, u double, cell int"
+    at_home = cut(met(cut(asks.select(*a, "g").mapInPandas(first, row)), placed, dims))
+    every = at_home
+    if len(cells) > 1:
+        abroad = at_home.select(*a, "g", F.coalesce("distance", F.lit(float("inf"))).alias("u"), "cell").mapInPandas(others, row)
+        every = at_home.union(met(cut(abroad), placed, dims))
+    best = every.filter("distance is not null").groupBy(*a, "g").agg(F.min(F.struct("distance", "id")).alias("best"))
+    return best.select(*a, "g", F.col("best.id").alias("nn"), F.col("best.distance").alias("distance"))
 
 
 def nearest(queries: DataFrame, points: DataFrame, cols: list[str], point_id: str, group: str | None = None) -> DataFrame:
@@ -124,7 +207,7 @@ def nearest(queries: DataFrame, points: DataFrame, cols: list[str], point_id: st
     Ties go to the least id. Both are null for a query with a missing or infinite coordinate, or without any point
     to go to; such points are not found. Points of null group are anybody's.
     """
-    found = search(_places(queries, cols, "a", group), _places(points, cols, "s", group, point_id), len(cols))
+    found = search(_places(queries, cols, "a", group), cut(_places(points, cols, "s", group, point_id)), len(cols))
     on = [F.col(f"l.{c}").cast("double") == F.col(f"r.a{i}") for i, c in enumerate(cols)]
     if group:
         on.append(F.col(f"l.{group}").eqNullSafe(F.col("r.g")))
