@@ -139,6 +139,16 @@ def test_nearest_pairs_are_no_rows(spark, monkeypatch):
     assert all(got[i] == (d[i].argmin(), pytest.approx(d[i].min())) for i in range(900))
 
 
+def test_matched_folds_meet_new_places_once(spark, monkeypatch):
+    """The distances of prediction are found once for all tries."""
+    r = random.Random(3)
+    train, new = (points(spark, [(i, r.random(), r.random(), "a") for i in range(n)]) for n in (120, 60))
+    seen = []
+    monkeypatch.setattr(applicability, "nearest", lambda q, p, *a: seen.append(q is new) or nearest.nearest(q, p, *a))
+    folds, tried = applicability.matched_folds(train, new, ["x", "y"], "id", tries=(8, 16))
+    assert folds.count() == 120 and len(tried) > 1 and sum(seen) == 1
+
+
 RINGS = [
     ("square", "outer", [(0, 0), (10, 0), (10, 10), (0, 10)]),
     ("square", "hole", [(3, 3), (7, 3), (7, 7), (3, 7)]),

@@ -89,9 +89,12 @@ def wasserstein(a: DataFrame, b: DataFrame, value: str = "distance") -> DataFram
     return step.agg(F.coalesce(F.sum(gap), F.lit(0.0)).alias("w"))
 
 
-def fold_statistic(train: DataFrame, new: DataFrame, cols: list[str], key: str, fold: str) -> DataFrame:
-    """One row, w: how far the nearest distances between folds are from those between new places and the data."""
-    return wasserstein(nearest(new, train, cols, key), nearest(train, train, cols, key, fold))
+def fold_statistic(train: DataFrame, new: DataFrame, cols: list[str], key: str, fold: str, task: DataFrame | None = None) -> DataFrame:
+    """One row, w: how far the nearest distances between folds are from those between new places and the data.
+
+    task: the latter distances, where they are at hand; they are the same for all folds.
+    """
+    return wasserstein(nearest(new, train, cols, key) if task is None else task, nearest(train, train, cols, key, fold))
 
 
 def clustered_folds(train: DataFrame, cols: list[str], key: str, k: int, clusters: int) -> DataFrame:
@@ -116,13 +119,14 @@ def matched_folds(train: DataFrame, new: DataFrame, cols: list[str], key: str, k
     stands for folds dealt by hash. Missing coordinates make a cluster of their own.
     """
     n = train.count()
+    task = cut(nearest(new, train, cols, key).select("distance"))
     seen, best = [], None
     hashed = F.pmod(F.xxhash64(F.col(key)), F.lit(k)).cast("int")
     for q in (0, *tries):
         folds = cut(train.withColumn("fold", hashed) if q == 0 else clustered_folds(train, cols, key, k, q))
         if q and folds.groupBy("fold").count().agg(F.max("count")).first()[0] > most * n:
             continue
-        w = fold_statistic(folds, new, cols, key, "fold").first()[0]
+        w = fold_statistic(folds, new, cols, key, "fold", task).first()[0]
         seen.append((q, w))
         if best is None or w < best[0]:
             best = (w, folds)
