@@ -149,6 +149,20 @@ def test_matched_folds_meet_new_places_once(spark, monkeypatch):
     assert folds.count() == 120 and len(tried) > 1 and sum(seen) == 1
 
 
+def restless(spark, n):
+    """id and a value that is another one each time it is computed, as sums in another order are."""
+    from pyspark.sql import functions as F
+
+    other = F.udf(lambda i: i + random.random(), "double").asNondeterministic()
+    return spark.range(n).select("id", other("id").alias("x"))
+
+
+def test_counts_meet_values_that_are_computed_once(spark):
+    reference = spark.range(20).selectExpr("double(id) x")
+    got = ranges.count_at_least(restless(spark, 20), reference, "x").collect()
+    assert sorted(r.k for r in got) == list(range(20))
+
+
 RINGS = [
     ("square", "outer", [(0, 0), (10, 0), (10, 10), (0, 10)]),
     ("square", "hole", [(3, 3), (7, 3), (7, 7), (3, 7)]),
