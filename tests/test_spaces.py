@@ -163,6 +163,12 @@ def test_counts_meet_values_that_are_computed_once(spark):
     assert sorted(r.k for r in got) == list(range(20))
 
 
+def test_nearest_meets_places_that_are_computed_once(spark):
+    sites = spark.range(25).selectExpr("id", "double(id) x")
+    assert nearest.nearest(restless(spark, 20), sites, ["x"], "id").filter("distance is null").count() == 0
+    assert nearest.nearest_other(restless(spark, 20), ["x"], "id").filter("distance is null").count() == 0
+
+
 RINGS = [
     ("square", "outer", [(0, 0), (10, 0), (10, 10), (0, 10)]),
     ("square", "hole", [(3, 3), (7, 3), (7, 7), (3, 7)]),

@@ -205,8 +205,10 @@ def nearest(queries: DataFrame, points: DataFrame, cols: list[str], point_id: st
     """queries with nn and distance: the nearest of points in ``cols``, of another ``group`` if one is named.
 
     Ties go to the least id. Both are null for a query with a missing or infinite coordinate, or without any point
-    to go to; such points are not found. Points of null group are anybody's.
+    to go to; such points are not found. Points of null group are anybody's. queries are checkpointed: they are read
+    twice, and a mean taken again in another order would not meet its own place.
     """
+    queries = cut(queries)
     found = search(_places(queries, cols, "a", group), cut(_places(points, cols, "s", group, point_id)), len(cols))
     on = [F.col(f"l.{c}").cast("double") == F.col(f"r.a{i}") for i, c in enumerate(cols)]
     if group:
@@ -216,6 +218,7 @@ def nearest(queries: DataFrame, points: DataFrame, cols: list[str], point_id: st
 
 def nearest_other(points: DataFrame, cols: list[str], point_id: str) -> DataFrame:
     """points with ``distance`` to the nearest row of another id; 0 where another shares the place, null as in nearest()."""
+    points = cut(points)  # read twice, as in nearest()
     xs = [F.col(c).cast("double").alias(f"a{i}") for i, c in enumerate(cols)]
     there = reduce(lambda x, y: x & y, [F.col(f"a{i}").isNotNull() & ~F.isnan(f"a{i}") & (F.abs(f"a{i}") < float("inf")) for i in range(len(cols))])
     keys = [f"a{i}" for i in range(len(cols))]
