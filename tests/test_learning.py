@@ -31,6 +31,19 @@ def test_average_ranks(spark):
     assert got[0].c is None and len(got) == 120
 
 
+def test_spearman_needs_no_row(spark):
+    """From counts alone, over rows that repeat and lack values, as the correlation of average ranks."""
+    r = random.Random(4)
+    rows = [(i, float(r.randrange(6)), None if i % 7 == 0 else r.random(), 2.0, None if i % 5 == 0 else float(r.randrange(4))) for i in range(150)] * 2
+    df = spark.createDataFrame([(i, *x[1:]) for i, x in enumerate(rows)], "id int, a double, b double, c double, y double")
+    got = screening.spearman(df, ["a", "b", "c"], "y")
+    for j, c in enumerate("abc", 1):
+        mine, theirs = ({i: v for i, v in zip([i for i, x in enumerate(rows) if x[k] is not None], ranks([x[k] for x in rows if x[k] is not None]), strict=True)} for k in (j, 4))
+        both = [i for i in mine if i in theirs]
+        assert got[c] == (0 if c == "c" else pytest.approx(abs(np.corrcoef([mine[i] for i in both], [theirs[i] for i in both])[0, 1])))
+    assert screening.spearman(df, [], "y") == {}
+
+
 def test_screen(spark):
     r = random.Random(2)
     rows = []
