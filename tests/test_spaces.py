@@ -305,6 +305,20 @@ def test_forest_quantiles(spark):
     assert got[0].asDict() | {"i": 101} == got[101].asDict()
 
 
+def test_forest_quantiles_of_lists(spark):
+    """Rows with their leaves as an array, and training rows as counts, as the long form has it."""
+    r = random.Random(14)
+    train = [(t, r.randrange(4), r.choice((float(r.randrange(9)), None)), 1 + r.randrange(3)) for t in range(3) for _ in range(50)]
+    lists = [(i, [r.randrange(5) for _ in range(3)]) for i in range(30)] + [(100, [9, 9, 9])]
+    shares = {"lo": 0.05, "mid": 0.5}
+    long = spark.createDataFrame([x[:3] for x in train for _ in range(x[3])], "tree int, leaf long, y double")
+    want = forest.quantiles(long, spark.createDataFrame([(i, t, leaf) for i, ls in lists for t, leaf in enumerate(ls)], "i int, tree int, leaf long"), ["i"], "y", shares).collect()
+    short = spark.createDataFrame(train, "tree int, leaf long, y double, n long")
+    got = {x.i: x for x in forest.quantiles_of_lists(short, spark.createDataFrame(lists, "i int, leaves array<bigint>"), "y", shares, "n").collect()}
+    assert len(got) == len(want) == 31 and got[100].mean is None
+    assert all((got[x.i].lo, got[x.i].mid) == (x.lo, x.mid) and got[x.i].mean == (x.mean and pytest.approx(x.mean)) for x in want)
+
+
 def test_quantile_forest_beats_constants(spark):
     r = random.Random(13)
     rows = [(i, x := r.uniform(0, 10), r.uniform(0, 1), round(x * 3 + r.gauss(0, 1 + x / 3), 1)) for i in range(1500)]
