@@ -150,3 +150,14 @@ def test_contract(spark):
     assert count([*rows, (3, "c", 1, 3.0, 1.0, None)]) == {"unknown scenario": 1, "not raw": 1}
     m = validation.metrics(spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 3.0)], "y double, p double"), "y", "p").first()
     assert (m.n, m.r2, m.rmse, m.mae) == (3, pytest.approx(1 - 2 / (14 / 3)), pytest.approx(math.sqrt(2 / 3)), pytest.approx(2 / 3))
+
+
+def test_fits_deal_lines_by_their_number(spark, monkeypatch):
+    """Tasks of a fit grow in number with the lines, not in size."""
+    from veldt.queries import relational
+
+    monkeypatch.setattr(relational, "FIT_ROWS", 500)
+    held = relational.features(spark, "/root/testdata/sf0.001")
+    n = held.count()
+    sizes = held.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == n and len(sizes) == -(-n // 500) and max(sizes) < 1000

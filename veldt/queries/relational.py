@@ -433,10 +433,16 @@ def quantile_order(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", a.alias("q1"), F.greatest(a, b).alias("q2"), F.greatest(a, b, c).alias("q3"))
 
 
+#: Lines of a task of a fit: vectors take some ten times what their lines take in a file.
+FIT_ROWS = 250_000
+
+
 def features(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as vectors, dealt by order so that a task of a fit holds FIT_ROWS or so, however large a file's pieces are."""
     from pyspark.ml.feature import VectorAssembler
 
     li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("y"), "l_quantity", "l_discount", "l_tax")
+    li = li.repartition(max(1, -(-li.count() // FIT_ROWS)), "l_orderkey")
     return VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(li)
 
 
