@@ -570,3 +570,33 @@ def test_html_names_of_page_and_article():
     ]
     got = [html_text.main_text(h, html_text.PRIOR) for h in pages]
     assert got == ["The text of the article stands here, in full.", "The first part of a paper is here. Its discussion follows, at some length."]
+
+
+def test_in_turn_is_never_below_the_edit_distance(spark):
+    r = random.Random(41)
+    rows = []
+    for k in range(200):
+        w = words(r, r.randint(1, 30)).split(" ")
+        v = list(w)
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(v) + 1)
+            v[at : at + r.randint(0, 2)] = words(r, r.randint(1, 2)).split(" ")
+        rows.append((k, w, v))
+    frame = spark.createDataFrame([*rows, (200, [], []), (201, [], ["ab"]), (202, ["ab", "c"], [])], "k int, x array<string>, y array<string>")
+    got = {x.k: x.d for x in frame.select("k", line_dedup.in_turn(F.col("x"), F.col("y")).alias("d")).collect()}
+    assert all(got[k] >= edit("".join(" " + w for w in x), "".join(" " + w for w in y)) for k, x, y in rows)
+    assert (got[200], got[201], got[202]) == (0, 3, 5)
+    shifted = spark.createDataFrame([(["new", "a", "b", "c"] * 9, ["a", "b", "c", "d"] * 9)], "x array<string>, y array<string>")
+    assert shifted.select(line_dedup.in_turn(F.col("x"), F.col("y")).alias("d")).first().d <= 9 * 6
+
+
+def test_unlike_short_lines_are_seldom_compared(spark, monkeypatch):
+    """Lines of the same few syllables share many threes of characters though none is like another."""
+    r, seen = random.Random(43), []
+    syllables = "the tion ing er and of re on an or ha wh ou nd ea ti st en ed at is ble ly sh".split()
+    line = lambda: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(r.randint(8, 15)))
+    check = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, held: seen.append(pairs.count()) or check(pairs, held))
+    rows = [(i, line()) for i in range(3000)]
+    got = line_dedup.fuzzy_line_dedup(table(spark, rows), whole=True)
+    assert got.filter("text <> ''").count() == 3000 and sum(seen) < 60

@@ -1,7 +1,7 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
 Lines are normalised, and equal ones are one node from there on. Nodes meet in sixteen blocks of four least hashes of
-their pairs of neighbouring words (of words and threes of characters in lines of few words), two bits of each least
+their pairs of neighbouring words (of words and fours of characters in lines of few words), two bits of each least
 hash tell apart what meets by chance, edit similarity verifies, verified pairs close into groups, and of each group
 only the first occurrence stays. Blocks of a SimHash would need three differing bits at most: one word changed in
 twenty turns over about six, and most similar lines would never meet. That form is kept: without ``whole``, lines meet
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldt.llm.common import drop_kept, keep, release_shuffles, unused
@@ -36,13 +36,15 @@ NARROW = 32_000
 LEAST = 32
 BANDS = tuple(tuple((b * 2 + step) % LEAST for step in (0, 5, 11, 22)) for b in range(LEAST // 2))
 MASKS = np.random.default_rng(10).integers(-(1 << 31), 1 << 31, LEAST).tolist()
-#: Lines of fewer words meet by words instead of pairs of words; lines of at most MANY words meet by threes of characters
+#: Lines of fewer words meet by words instead of pairs of words; lines of at most MANY words meet by fours of characters
 #: besides, so that similar lines on both sides of FEW have a kind in common.
 FEW, MANY = 10, 16
 #: Of the least hashes' last two bits, how many may differ for a pair to be verified, by kind.
 UNLIKE = (10, 13, 14)
 #: Pivots that the lines of a large shard are compared with before the rest are compared with each other.
-PIVOTS = 3
+PIVOTS = 2
+#: How many words on an equal word is looked for when two lines are compared word by word in turn.
+AHEAD = 8
 
 
 #: ASCII, Latin-1, general and CJK punctuation, white space and controls; and those of them that are white space or controls.
@@ -112,7 +114,7 @@ def banded_lines(raw: DataFrame) -> DataFrame:
     """doc_id, line_no, hash, kind, sim, b0 ... of the lines that hold anything but white space.
 
     Kind 0 is by pairs of neighbouring words; lines of fewer than FEW words have kind 2, by words, instead. Lines of at
-    most MANY words also have kind 1, by threes of neighbouring characters. The outer explode keeps Spark from testing,
+    most MANY words also have kind 1, by fours of neighbouring characters: threes are syllables that unlike lines share. The outer explode keeps Spark from testing,
     and so computing, the array beforehand.
     """
     split = normal_lines(raw).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("hash"), F.split("norm", " ").alias("ws"))
@@ -120,7 +122,7 @@ def banded_lines(raw: DataFrame) -> DataFrame:
     parts = sized.select("doc_id", "line_no", "hash", "len", "n", F.when(F.col("n") <= MANY, F.concat("ws", F.split("norm", ""))).otherwise(F.col("ws")).alias("parts"))
     each = parts.select("doc_id", "line_no", "hash", "len", "n", "parts", F.posexplode_outer("parts").alias("at", "part")).filter("part <> ''")
     chars = F.col("at") >= F.col("n")
-    near = [F.when(chars | ((F.col("n") >= FEW) & (F.col("at") + 1 < F.col("n"))), F.get("parts", F.col("at") + 1)), F.when(chars, F.get("parts", F.col("at") + 2))]
+    near = [F.when(chars | ((F.col("n") >= FEW) & (F.col("at") + 1 < F.col("n"))), F.get("parts", F.col("at") + 1)), *[F.when(chars, F.get("parts", F.col("at") + k)) for k in (2, 3)]]
     return least_hashes(each.select("doc_id", "line_no", "hash", "len", F.when(chars, 1).when(F.col("n") < FEW, 2).otherwise(0).alias("kind"), F.xxhash64("part", *near).alias("h")))
 
 
@@ -145,11 +147,28 @@ def same_start(x: Column, y: Column) -> Column:
     return F.when(differ > 0, differ - 1).otherwise(F.size(x)).cast("int")
 
 
+def in_turn(x: Column, y: Column) -> Column:
+    """A distance of two arrays of words, each with its space, that is never below their edit distance.
+
+    A word of x meets the next of y that equals it, at most AHEAD words on; what lies between two meetings is replaced.
+    """
+    chars = lambda w: F.aggregate(w, F.lit(0), lambda n, v: n + F.length(v) + 1)
+
+    def turn(s: Column, w: Column) -> Column:
+        k = F.array_position(F.slice(y, s["at"] + 1, AHEAD), w).cast("int")
+        met = F.struct((s["at"] + k).alias("at"), F.lit(0).alias("left"), (s["cost"] + F.greatest(s["left"], F.when(k > 1, chars(F.slice(y, s["at"] + 1, k - 1))).otherwise(0))).alias("cost"))
+        return F.when(k > 0, met).otherwise(F.struct(s["at"].alias("at"), (s["left"] + F.length(w) + 1).alias("left"), s["cost"].alias("cost")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("left"), F.lit(0).alias("cost"))
+    return F.aggregate(x, start, turn, lambda s: s["cost"] + F.greatest(s["left"], chars(F.slice(y, s["at"] + 1, F.size(y)))))
+
+
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose edit similarity is SIMILAR or more.
 
-    Words that both lines start or end with do not count towards the distance. What lies between is compared word by
-    word in place, whose sum is never below the distance and settles most pairs; the rest is compared by characters.
+    Words that both lines start or end with do not count towards the distance, and what lies between is never further
+    apart than the longer of the two. Else it is compared word by word in place, then by words met in turn: neither sum
+    is ever below the distance, and they settle most pairs; the rest is compared by characters, within the distance allowed.
     Each step is a projection of its own and the last filter stands behind a generator, since a filter that Spark
     pushes into projections computes them once for every use.
     """
@@ -163,11 +182,15 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     rest = rest.select("a", "b", "room", *[F.slice(F.reverse(w), 1, F.size(w) - F.col("head")).alias(w) for w in "xy"])
     rest = rest.select("a", "b", "room", "x", "y", same_start(F.col("x"), F.col("y")).alias("tail"))
     rest = rest.select("a", "b", "room", *[F.reverse(F.slice(w, F.col("tail") + 1, F.size(w))).alias(w) for w in "xy"])
-    step = lambda p, q: F.when(p.isNull(), F.length(q) + 1).when(q.isNull(), F.length(p) + 1).otherwise(F.levenshtein(p, q))
-    placed = rest.select("a", "b", "room", "x", "y", F.aggregate(F.zip_with("x", "y", step), F.lit(0), lambda n, d: n + d).alias("placed"))
+    span = lambda w: F.when(F.size(w) > 0, F.length(F.array_join(w, " ")) + 1).otherwise(0)
+    rest = rest.select("a", "b", "room", "x", "y", F.greatest(span("x"), span("y")).alias("most"))
+    step = lambda p, q: F.when(p.eqNullSafe(q), 0).when(p.isNull(), F.length(q) + 1).when(q.isNull(), F.length(p) + 1).otherwise(F.levenshtein(p, q))
+    in_place = F.when(F.col("most") > F.col("room"), F.aggregate(F.zip_with("x", "y", step), F.lit(0), lambda n, d: n + d)).otherwise(0)
+    placed = rest.select("a", "b", "room", "x", "y", in_place.alias("placed"))
+    led = placed.select("a", "b", "room", "x", "y", F.when(F.col("placed") > F.col("room"), in_turn(F.col("x"), F.col("y"))).otherwise(0).alias("turns"))
     spaced = [F.when(F.size(w) > 0, F.concat(F.lit(" "), F.array_join(w, " "))).otherwise("") for w in "xy"]
-    near = F.when(F.col("placed") <= F.col("room"), True).otherwise(F.levenshtein(*spaced) <= F.col("room"))
-    return placed.select(F.explode_outer(F.when(near, F.array(F.struct("a", "b")))).alias("pair")).filter("pair is not null").select("pair.a", "pair.b")
+    near = F.when(F.col("turns") <= F.col("room"), True).otherwise(F.call_function("levenshtein", *spaced, F.col("room")) >= 0)
+    return led.select(F.explode_outer(F.when(near, F.array(F.struct("a", "b")))).alias("pair")).filter("pair is not null").select("pair.a", "pair.b")
 
 
 def shards(nodes: DataFrame) -> DataFrame:
@@ -183,8 +206,7 @@ def met_in_bands(cards: DataFrame, bands: int) -> DataFrame:
     for at in range(0, bands, 4):
         keys = [F.shiftleft(F.col("kind").cast("long") * bands + b, 32).bitwiseOR(F.col(f"b{b}").cast("long").bitwiseAND((1 << 32) - 1)) for b in range(at, min(at + 4, bands))]
         dealt = cards.select("hash", "sim", F.explode(F.array(*keys)).alias("shard"))
-        shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        some = keep(dealt.join(shared.hint("shuffle_hash"), "shard").select("shard", "size", "hash", "sim"))
+        some = keep(dealt.select("shard", F.count(F.lit(1)).over(Window.partitionBy("shard")).alias("size"), "hash", "sim").filter("size > 1"))
         met = some if met is None else met.union(some)
         release_shuffles(cards.sparkSession)
     return met
@@ -206,6 +228,19 @@ def distinct_cards(numbered: DataFrame) -> DataFrame:
     return numbered.groupBy("hash", "kind").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in carried])
 
 
+def joined(named: DataFrame, more: DataFrame) -> DataFrame:
+    """node, component once the links (a, b) of more are closed too: only the components that they touch are closed anew."""
+    own = lambda x: named.select(F.col("node").alias(x), F.col("component").alias(f"{x}_own"))
+    ends = keep(more.join(own("a"), "a", "left").join(own("b"), "b", "left").select("a", "b", F.coalesce("a_own", "a").alias("a_own"), F.coalesce("b_own", "b").alias("b_own")))
+    roots = keep(components(ends.select(F.col("a_own").alias("a"), F.col("b_own").alias("b"))))
+    fresh = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = named.union(fresh).select("node", F.col("component").alias("own")).join(roots.select(F.col("node").alias("own"), "component"), "own", "left")
+    after = keep(every.select("node", F.coalesce("component", "own").alias("component")))
+    for done in (named, ends, roots):
+        drop_kept(done)
+    return after
+
+
 def groups(raw: DataFrame, cards: DataFrame, met: Callable[[DataFrame], DataFrame], near: Near, hold: Callable[[Column], list[Column]], check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """hash, group, first: the lines that occur twice or link to another, what names their group, and where they occur first.
 
@@ -232,8 +267,7 @@ def groups(raw: DataFrame, cards: DataFrame, met: Callable[[DataFrame], DataFram
     places = wanted.join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
     held = keep(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *hold(F.col("line"))).dropDuplicates(["node"]))
     release_shuffles(spark)
-    links = keep(check(stars, held))
-    named = keep(components(links))
+    named = keep(components(keep(check(stars, held))))
     for turn in range(1, PIVOTS + 1):
         own = many.join(named, F.col("hash") == F.col("node"), "left").select("shard", "hash", "sim", F.coalesce("component", "hash").alias("own"))
         most = own.groupBy("shard", "own").count().groupBy("shard").agg(F.max_by("own", "count").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
@@ -252,8 +286,7 @@ def groups(raw: DataFrame, cards: DataFrame, met: Callable[[DataFrame], DataFram
         drop_kept(crowd)
         release_shuffles(spark)
         if not more.isEmpty():
-            links = links.union(more)
-            named = keep(components(links))
+            named = joined(named, more)
     for done in (meetings, stars, held):
         drop_kept(done)
     release_shuffles(spark)
