@@ -600,3 +600,15 @@ def test_unlike_short_lines_are_seldom_compared(spark, monkeypatch):
     rows = [(i, line()) for i in range(3000)]
     got = line_dedup.fuzzy_line_dedup(table(spark, rows), whole=True)
     assert got.filter("text <> ''").count() == 3000 and sum(seen) < 60
+
+
+def test_pii_learns_from_every_document(spark, monkeypatch):
+    """Documents beyond any sample of 4000 change the model, which is the same in any partitioning."""
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    cards = [n for n in range(4929348385100000, 4929348385148000) if pii.luhn(str(n))]
+    rows = [(i, f"host 10.2.{i % 250}.{i % 240} is up") for i in range(5000)] + [(5000 + i, f"card {cards[i]} end") for i in range(50)] + [(6000 + i, f"order {4929348385140001 + 10 * i} sent") for i in range(50)]
+    frame = table(spark, rows)
+    model, cuts = pii.train(frame)
+    assert (model, cuts) == pii.train(frame.repartition(5, "text")) and len(model[1]) == 2
+    late = [i for _, i in sorted((x.h, x.doc_id) for x in frame.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id").collect())[4000:]]
+    assert pii.train(table(spark, [x for x in rows if x[0] not in late]))[0][0] != model[0]

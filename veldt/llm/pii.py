@@ -4,7 +4,8 @@ Plain rules (the base) find e-mail addresses, IP addresses, card and phone numbe
 Generators of high recall propose further spans, overlapping ones too: pieces of longer digit runs, numbers
 without a plus sign, addresses spelled around. Boosted trees score each proposal by its format and its context. They
 learn from what the base confirmed in running text and from what it would not confirm anywhere; what only its
-neighbours kept the base from confirming is left for them to judge. A threshold calibrated on held-out candidates
+neighbours kept the base from confirming is left for them to judge. Fits and thresholds count the candidates of all
+documents. A threshold calibrated on held-out candidates
 selects, and of overlapping selections the best scored stays.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import bound_batches, texts
+from veldt.llm.common import bound_batches, drop_kept, keep, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -42,8 +44,10 @@ PROPOSE = {
 }
 DIGIT, AROUND = re.compile(r"[0-9]"), re.compile(r"[\[(]\s?(?:at|AT)\s?[\])]")
 FOURS = re.compile(r"[0-9]{4}(?:[\x20-]?[0-9]{4}){3}")
-#: Documents a fit looks at, at most: those with the smallest hashes; and candidates of them.
-SAMPLE, CANDIDATES = 4000, 20_000
+#: Places where trees may cut a feature, all of which are whole numbers: each number up to 24, then steps of about a quarter.
+GRID = np.array(sorted({k + 0.5 for k in range(24)} | {round(24 * 1.25**k) + 0.5 for k in range(40)}))
+#: Sums of gradients are whole multiples of 1 / UNIT, which add up to the same in any order; scores over one half fall into STEPS bins.
+UNIT, STEPS = 1 << 20, 1 << 14
 ROUNDS, DEPTH, RATE, PRECISION = 30, 3, 0.3, 0.98
 CUE = re.compile(r"(mail|e-mail|phone|tel|call|fax|card|visa|ip|host|server|address|contact)\W*$", re.I)
 
@@ -137,33 +141,6 @@ def describe(text: str, span: tuple[str, int, int]) -> list[float]:
 Tree = list[tuple[int, float, int, int, float]]
 
 
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, tree: Tree) -> int:
-    """Adds a node (feature, cut, left, right, value) and returns its place."""
-    at = len(tree)
-    gs, hs = g[rows].sum(), h[rows].sum()
-    tree.append((-1, 0.0, 0, 0, RATE * gs / (hs + 1)))
-    best = (1e-6, -1, 0.0)
-    if depth:
-        for j in range(x.shape[1]):
-            values = np.unique(x[rows, j])
-            if len(values) < 2:
-                continue
-            cuts = (values[1:] + values[:-1]) / 2
-            cuts = cuts if len(cuts) <= 32 else np.unique(np.quantile(cuts, np.linspace(0, 1, 32)))
-            place = np.searchsorted(cuts, x[rows, j])
-            gl, hl = (np.bincount(place, v[rows], len(cuts) + 1).cumsum()[:-1] for v in (g, h))
-            gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-            k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (float(gain[k]), j, float(cuts[k]))
-    if best[1] >= 0:
-        low = x[rows, best[1]] < best[2]
-        left = _grow(x, g, h, rows[low], depth - 1, tree)
-        right = _grow(x, g, h, rows[~low], depth - 1, tree)
-        tree[at] = (best[1], best[2], left, right, 0.0)
-    return at
-
-
 def _value(tree: Tree, x: list[float]) -> float:
     at = 0
     while tree[at][0] >= 0:
@@ -172,21 +149,102 @@ def _value(tree: Tree, x: list[float]) -> float:
     return tree[at][4]
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[Tree]]:
-    """(base score, trees) by Newton boosting of the logistic loss."""
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    base = float(np.log(rate / (1 - rate)))
-    trees: list[Tree] = []
-    if len(y) == 0 or y.min() == y.max():
-        return base, trees
-    score, rows = np.full(len(y), base), np.arange(len(y))
-    for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-score))
-        tree: Tree = []
-        _grow(x, y - p, p * (1 - p), rows, DEPTH, tree)
-        trees.append(tree)
-        score += [_value(tree, r) for r in x.tolist()]
-    return base, trees
+def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """bins (a row a vector), y, n of a batch of vectors."""
+    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, len(FEATURES))
+    return bins, batch.column("y").to_numpy().astype(float), batch.column("n").to_numpy().astype(float)
+
+
+def places(tree: Tree, bins: np.ndarray) -> np.ndarray:
+    """The node of the tree at which each row of bins ends."""
+    at, cuts = np.zeros(len(bins), np.int64), [int(np.searchsorted(GRID, cut)) for _, cut, *_ in tree]
+    for node, (j, _, left, right, _) in enumerate(tree):  # children follow their parents
+        if j >= 0:
+            here = at == node
+            at[here] = np.where(bins[here, j] <= cuts[node], left, right)
+    return at
+
+
+def scores(model: tuple[float, list[Tree]], bins: np.ndarray) -> np.ndarray:
+    out = np.full(len(bins), model[0])
+    for tree in model[1]:
+        out += np.array([node[4] for node in tree])[places(tree, bins)]
+    return 1 / (1 + np.exp(-out))
+
+
+def histograms(vectors: DataFrame, model: tuple[float, list[Tree]], tree: Tree, level: list[int]) -> np.ndarray:
+    """Sums of gradients and curvatures by node of the level, feature and bin, over all vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(level), len(FEATURES), len(GRID) + 1))
+        for b in batches:
+            bins, y, n = unpack(b)
+            p, at = scores(model, bins), places(tree, bins)
+            for v, of in enumerate((np.rint((y - p) * UNIT) * n, np.rint(p * (1 - p) * UNIT) * n)):
+                for k, node in enumerate(level):
+                    here = at == node
+                    for j in range(len(FEATURES)):
+                        total[v, k, j] += np.bincount(bins[here, j], of[here], len(GRID) + 1)
+        k, j, c = np.nonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (k, j, c, total[0, k, j, c], total[1, k, j, c])], ["k", "j", "c", "g", "h"])
+
+    out = np.zeros((2, len(level), len(FEATURES), len(GRID) + 1))
+    for r in vectors.mapInArrow(run, "k long, j long, c long, g long, h long").groupBy("k", "j", "c").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+        out[:, r.k, r.j, r.c] = r.g / UNIT, r.h / UNIT
+    return out
+
+
+def grow(vectors: DataFrame, model: tuple[float, list[Tree]]) -> Tree:
+    """One more tree by Newton gains, a pass over all vectors a level."""
+    tree: Tree = [(-1, 0.0, 0, 0, 0.0)]
+    level = [0]
+    for _ in range(DEPTH):
+        below = []
+        for node, (g, h) in zip(level, histograms(vectors, model, tree, level).swapaxes(0, 1), strict=True):
+            gs, hs, gl, hl = g[0].sum(), h[0].sum(), g.cumsum(axis=1)[:, :-1], h.cumsum(axis=1)[:, :-1]
+            gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+            j, k = np.unravel_index(int(gain.argmax()), gain.shape)
+            tree[node] = (-1, 0.0, 0, 0, RATE * gs / (hs + 1))
+            if gain[j, k] > 1e-6:
+                tree[node] = (int(j), float(GRID[k]), len(tree), len(tree) + 1, 0.0)
+                below += [len(tree), len(tree) + 1]
+                tree += [(-1, 0.0, 0, 0, float(RATE * x / (y + 1))) for x, y in ((gl[j, k], hl[j, k]), (gs - gl[j, k], hs - hl[j, k]))]
+        if not below:
+            break
+        level = below
+    return tree
+
+
+def boost(vectors: DataFrame) -> tuple[float, list[Tree]]:
+    """(base score, trees) by Newton boosting of the logistic loss over all vectors (bins, y, n)."""
+    n, right = vectors.agg(F.sum("n"), F.sum(F.col("n") * F.col("y"))).first()
+    n, right = n or 0, right or 0
+    rate = (right + 0.5) / (n + 1)
+    model: tuple[float, list[Tree]] = (float(np.log(rate / (1 - rate))), [])
+    for _ in range(ROUNDS if 0 < right < n else 0):
+        model[1].append(grow(vectors, model))
+    return model
+
+
+def thresholds(vectors: DataFrame, model: tuple[float, list[Tree]]) -> dict[str, float]:
+    """By kind, halfway below the least score from which on PRECISION of all candidates are right; at least one half, and over 1 where no score reaches it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins, y, n = unpack(b)
+            p = scores(model, bins)
+            step = np.where(p >= 0.5, (p * 2 * STEPS).astype(np.int64), 0)
+            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(step), pa.array(p), pa.array((y * n).astype(np.int64)), b.column("n")], ["kind", "step", "p", "y", "n"])
+
+    cuts = {kind: 2.0 for kind in KINDS}
+    seen = vectors.mapInArrow(run, "kind string, step long, p double, y long, n long").groupBy("kind", "step").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
+    for kind in KINDS:
+        steps, n, right = sorted([r for r in seen if r.kind == kind], key=lambda r: -r.step), 0, 0
+        for r, below in zip(steps, [*[r.high for r in steps[1:]], 0.0]):
+            n, right = n + r.n, right + r.y
+            if right >= PRECISION * n and r.step:
+                cuts[kind] = max(0.5, (r.low + below) / 2)
+    return cuts
 
 
 def probability(model: tuple[float, list[Tree]], x: list[float]) -> float:
@@ -229,43 +287,36 @@ def crosses(reached: tuple[list[int], list[int]], s: int, e: int) -> bool:
     return k > 0 and reached[1][k - 1] > s
 
 
-def train(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> tuple[tuple[float, list[Tree]], dict[str, float]]:
-    """(model, threshold by kind) from the candidates of at most ``sample`` documents.
+def train(df: DataFrame, sample: int | None = None, key: str = "doc_id", text: str = "text") -> tuple[tuple[float, list[Tree]], dict[str, float]]:
+    """(model, threshold by kind) from the candidates of all documents, or of at most ``sample`` if it is given.
 
-    Three of four candidates fit the trees, the fourth calibrates: a kind's threshold lies halfway below the least
-    score from which on PRECISION of its held-out candidates are right, at one half at least, and over 1 where no
-    score reaches it. Documents are those
-    with the smallest hashes of id and text, so the same rows give the same model however they are partitioned.
+    Spark counts the candidates by kind, binned features and label; the trees take their sums from these counts, a
+    pass a level. Three of four candidates fit the trees, the fourth, by a hash of its place and its document, calibrates. The same
+    rows give the same model however they are partitioned; a sample has the smallest hashes of id and text.
     """
     bound_batches(df.sparkSession)
-    some = texts(df, key, text).filter(F.col("text").rlike(r"[0-9@]"))
-    chosen = some.select(F.xxhash64("doc_id", "text").alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if chosen is None:
-        return (0.0, []), {k: 2.0 for k in KINDS}
+    some = texts(df, key, text).filter(F.col("text").rlike(r"[0-9@]|[\[(]\s?(?i:at)\s?[\])]")).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    if sample is not None:
+        some = some.join(some.select("h").distinct().orderBy("h").limit(sample), "h", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = proposals(t)
-                rows += [(h, *c, y, describe(t, c)) for c, y in zip(found, teach(t, found, base_spans(t)), strict=True) if y is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64())))], ["h", "kind", "s", "e", "y", "x"])
-
-    picked = some.select(F.xxhash64("doc_id", "text").alias("h"), "text").filter(F.col("h") <= chosen)
-    rows = picked.mapInArrow(run, "h long, kind string, s long, e long, y int, x array<double>").orderBy("h", "s", "e", "kind").limit(CANDIDATES).collect()
-    x, y = np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], float)
-    fold = np.arange(len(rows)) % 4
-    model = boost(x[fold > 0], y[fold > 0])
-    cuts = {}
-    held = [(r.kind, probability(model, r.x), r.y) for r, f in zip(rows, fold, strict=True) if f == 0]
-    for kind in KINDS:
-        seen = sorted([(p, t) for k, p, t in held if k == kind], reverse=True)
-        cuts[kind], right = 2.0, 0
-        for n, (p, t) in enumerate(seen, 1):
-            right += t
-            if right >= PRECISION * n and p >= 0.5:
-                below = seen[n][0] if n < len(seen) else 0.0
-                cuts[kind] = max(0.5, (p + below) / 2)
+            kinds, bins, ys, held = [], [], [], []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                body = t.as_py()
+                found = proposals(body)
+                for c, y in zip(found, teach(body, found, base_spans(body)), strict=True):
+                    if y is not None:
+                        kinds.append(c[0])
+                        bins.append(np.searchsorted(GRID, describe(body, c)).astype(np.uint8).tobytes())
+                        ys.append(y)
+                        held.append(zlib.crc32(f"{h}:{c}".encode()) % 4 == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(bins, pa.binary()), pa.array(ys, pa.int32()), pa.array(held, pa.bool_())], ["kind", "bins", "y", "held"])
+
+    vectors = keep(some.mapInArrow(run, "kind string, bins binary, y int, held boolean").groupBy("kind", "bins", "y", "held").agg(F.count(F.lit(1)).alias("n")))
+    model = boost(vectors.filter("not held"))
+    cuts = thresholds(vectors.filter("held"), model)
+    drop_kept(vectors)
     return model, cuts
 
 
