@@ -9,11 +9,12 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veldt.llm import bpe, decontaminate, fingerprint, graph, html_text, line_dedup, pii, quality, simhash, substring_dedup, url_filter
+from veldt.llm import bpe, decontaminate, fingerprint, graph, html_text, line_dedup, pii, quality, simhash, similar, substring_dedup, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, node int, __x int"
 
@@ -612,3 +613,19 @@ def test_pii_learns_from_every_document(spark, monkeypatch):
     assert (model, cuts) == pii.train(frame.repartition(5, "text")) and len(model[1]) == 2
     late = [i for _, i in sorted((x.h, x.doc_id) for x in frame.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id").collect())[4000:]]
     assert pii.train(table(spark, [x for x in rows if x[0] not in late]))[0][0] != model[0]
+
+
+def test_near_duplicates_meet_by_simhash():
+    """Bands come from sums to which each shingle adds 1 or takes 1, and sets of similarity 0.8 meet at any size."""
+    r = np.random.default_rng(3)
+    draw = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, n, dtype=np.uint64)
+    x, y = draw(200), draw(50)
+    one, both, apart = similar.sums([x[:1]]), similar.sums([np.concatenate([x, y])]), similar.sums([x, y])
+    assert set(np.unique(one)) == {-1.0, 1.0} and (both[0] == apart[0] + apart[1]).all()
+    for same, own in ((4, 1), (8, 1), (40, 5), (160, 20), (800, 100)):
+        sets = []
+        for _ in range(200):
+            h = draw(same + 2 * own)
+            sets += [h[: same + own], np.concatenate([h[:same], h[same + own :]])] if own > 1 else [h[: same + own], h[:same]]
+        bands = similar.surest(sets)
+        assert (bands[::2] == bands[1::2]).any(axis=1).mean() >= 0.99 and (bands[::2] == np.roll(bands[1::2], 1, 0)).mean() < 1e-4

@@ -200,11 +200,11 @@ def shards(nodes: DataFrame) -> DataFrame:
     return nodes.select("hash", F.explode(F.array(*keys)).alias("shard"))
 
 
-def met_in_bands(cards: DataFrame, bands: int) -> DataFrame:
-    """shard, size, hash, sim of the nodes that share a band with another, of (hash, kind, sim, b0 ...); a few bands at a time, so that little lies on disk."""
+def met_in_bands(cards: DataFrame, bands: int, step: int = 4) -> DataFrame:
+    """shard, size, hash, sim of the nodes that share a band with another, of (hash, kind, sim, b0 ...); ``step`` bands at a time, so that little lies on disk."""
     met = None
-    for at in range(0, bands, 4):
-        keys = [F.shiftleft(F.col("kind").cast("long") * bands + b, 32).bitwiseOR(F.col(f"b{b}").cast("long").bitwiseAND((1 << 32) - 1)) for b in range(at, min(at + 4, bands))]
+    for at in range(0, bands, step):
+        keys = [F.shiftleft(F.col("kind").cast("long") * bands + b, 32).bitwiseOR(F.col(f"b{b}").cast("long").bitwiseAND((1 << 32) - 1)) for b in range(at, min(at + step, bands))]
         dealt = cards.select("hash", "sim", F.explode(F.array(*keys)).alias("shard"))
         some = keep(dealt.select("shard", F.count(F.lit(1)).over(Window.partitionBy("shard")).alias("size"), "hash", "sim").filter("size > 1"))
         met = some if met is None else met.union(some)
