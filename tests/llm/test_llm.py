@@ -629,3 +629,13 @@ def test_near_duplicates_meet_by_simhash():
             sets += [h[: same + own], np.concatenate([h[:same], h[same + own :]])] if own > 1 else [h[: same + own], h[:same]]
         bands = similar.surest(sets)
         assert (bands[::2] == bands[1::2]).any(axis=1).mean() >= 0.99 and (bands[::2] == np.roll(bands[1::2], 1, 0)).mean() < 1e-4
+
+
+def test_repeated_lines_are_sketched_once(spark):
+    """A line's sketch is one row a kind however often it occurs; the first place and all repeats are still known."""
+    line = "a line of some seven words here"
+    rows = [(i, f"{line}\n \n{'A ' * (i % 2)}{line}, own {i * i} {'xyz' * (i + 1)}") for i in range(12)] + [(20, " \n\t"), (21, None)]
+    raw = line_dedup.raw_lines(table(spark, rows), "doc_id", "text")
+    assert line_dedup.banded_lines(raw).groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 2").count() == 0
+    got = {x.doc_id: x.text for x in line_dedup.fuzzy_line_dedup(table(spark, rows), whole=True).collect()}
+    assert got[0] == rows[0][1] and all(line not in got[i].split("\n") for i in range(1, 12)) and got[20] == " \n\t" and got[21] is None

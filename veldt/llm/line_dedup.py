@@ -97,33 +97,35 @@ def hashed_lines(raw: DataFrame) -> DataFrame:
 
 
 def least_hashes(parts: DataFrame) -> DataFrame:
-    """doc_id, line_no, hash, kind, sim, b0 ...: two bits of each least hash with the line's length, and a hash of each band of them, of (doc_id, line_no, hash, kind, len, h), a row for each part's hash h.
+    """hash, kind, sim, b0 ...: two bits of each least hash with the line's length, and a hash of each band of them, of (hash, kind, len, h), a row for each part's hash h.
+
+    Equal lines have equal parts, so that repeats of a line change nothing.
 
     A least hash is the smallest of 32 bits of the parts' hashes, each from another place on and turned over by another
     mask: bits from one place would put the parts in much the same order again and again.
     """
     bits = [F.shiftright(F.shiftleft("h", i), 32).cast("int") for i in range(LEAST)]
-    found = parts.groupBy("doc_id", "line_no", "hash", "kind").agg(F.max("len").alias("len"), *[F.min(x.bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, (x, m) in enumerate(zip(bits, MASKS, strict=True))])
+    found = parts.groupBy("hash", "kind").agg(F.max("len").alias("len"), *[F.min(x.bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, (x, m) in enumerate(zip(bits, MASKS, strict=True))])
     sim = F.lit(0).cast("long")
     for i in range(LEAST):
         sim = sim.bitwiseOR(F.shiftleft(F.hash(f"m{i}").bitwiseAND(3).cast("long"), 2 * i))
-    return found.select("doc_id", "line_no", "hash", "kind", F.struct(sim.alias("bits"), "len").alias("sim"), *[F.hash(*[f"m{i}" for i in band]).alias(f"b{b}") for b, band in enumerate(BANDS)])
+    return found.select("hash", "kind", F.struct(sim.alias("bits"), "len").alias("sim"), *[F.hash(*[f"m{i}" for i in band]).alias(f"b{b}") for b, band in enumerate(BANDS)])
 
 
 def banded_lines(raw: DataFrame) -> DataFrame:
-    """doc_id, line_no, hash, kind, sim, b0 ... of the lines that hold anything but white space.
+    """hash, kind, sim, b0 ... of the distinct lines that hold anything but white space.
 
     Kind 0 is by pairs of neighbouring words; lines of fewer than FEW words have kind 2, by words, instead. Lines of at
     most MANY words also have kind 1, by fours of neighbouring characters: threes are syllables that unlike lines share. The outer explode keeps Spark from testing,
     and so computing, the array beforehand.
     """
-    split = normal_lines(raw).select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("hash"), F.split("norm", " ").alias("ws"))
-    sized = split.select("doc_id", "line_no", "norm", "hash", "ws", F.size("ws").cast("int").alias("n"), F.length("norm").alias("len"))
-    parts = sized.select("doc_id", "line_no", "hash", "len", "n", F.when(F.col("n") <= MANY, F.concat("ws", F.split("norm", ""))).otherwise(F.col("ws")).alias("parts"))
-    each = parts.select("doc_id", "line_no", "hash", "len", "n", "parts", F.posexplode_outer("parts").alias("at", "part")).filter("part <> ''")
+    split = normal_lines(raw).select("norm", F.xxhash64("norm").alias("hash"), F.split("norm", " ").alias("ws"))
+    sized = split.select("norm", "hash", "ws", F.size("ws").cast("int").alias("n"), F.length("norm").alias("len"))
+    parts = sized.select("hash", "len", "n", F.when(F.col("n") <= MANY, F.concat("ws", F.split("norm", ""))).otherwise(F.col("ws")).alias("parts"))
+    each = parts.select("hash", "len", "n", "parts", F.posexplode_outer("parts").alias("at", "part")).filter("part <> ''")
     chars = F.col("at") >= F.col("n")
     near = [F.when(chars | ((F.col("n") >= FEW) & (F.col("at") + 1 < F.col("n"))), F.get("parts", F.col("at") + 1)), *[F.when(chars, F.get("parts", F.col("at") + k)) for k in (2, 3)]]
-    return least_hashes(each.select("doc_id", "line_no", "hash", "len", F.when(chars, 1).when(F.col("n") < FEW, 2).otherwise(0).alias("kind"), F.xxhash64("part", *near).alias("h")))
+    return least_hashes(each.select("hash", "len", F.when(chars, 1).when(F.col("n") < FEW, 2).otherwise(0).alias("kind"), F.xxhash64("part", *near).alias("h")))
 
 
 def raw_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -222,10 +224,15 @@ def met_in_blocks(cards: DataFrame) -> DataFrame:
 Near = Callable[[Column, Column, Column], Column]
 
 
+def distinct_lines(places: DataFrame) -> DataFrame:
+    """hash, first, n: each line's first place and how often it occurs, of (doc_id, line_no, hash)."""
+    return places.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
 def distinct_cards(numbered: DataFrame) -> DataFrame:
-    """hash, kind, first, n and the other columns of (doc_id, line_no, hash, kind ...), a row for each hash and kind."""
+    """hash, kind and the other columns of (doc_id, line_no, hash, kind ...), a row for each hash and kind."""
     carried = [c for c in numbered.columns if c not in ("doc_id", "line_no", "hash", "kind")]
-    return numbered.groupBy("hash", "kind").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in carried])
+    return numbered.groupBy("hash", "kind").agg(*[F.min(c).alias(c) for c in carried])
 
 
 def joined(named: DataFrame, more: DataFrame) -> DataFrame:
@@ -241,15 +248,15 @@ def joined(named: DataFrame, more: DataFrame) -> DataFrame:
     return after
 
 
-def groups(raw: DataFrame, cards: DataFrame, met: Callable[[DataFrame], DataFrame], near: Near, hold: Callable[[Column], list[Column]], check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def groups(raw: DataFrame, nodes: DataFrame, cards: DataFrame, met: Callable[[DataFrame], DataFrame], near: Near, hold: Callable[[Column], list[Column]], check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """hash, group, first: the lines that occur twice or link to another, what names their group, and where they occur first.
 
-    raw: doc_id, line_no, line; cards: a kept table of distinct_cards, dropped once read; every line has one row of
-    another kind than 1. met: shard, size, hash, sim of the nodes that meet; near: whether two sims of a shard are
+    raw: doc_id, line_no, line; nodes: hash, first, n; cards: a kept table of hash, kind and what met needs, dropped once
+    read. met: shard, size, hash, sim of the nodes that meet; near: whether two sims of a shard are
     near enough to compare; hold: what a comparison needs of a line; check: the pairs (a, b) of nodes that are alike.
     """
     spark = raw.sparkSession
-    nodes, meetings = keep(cards.filter("kind <> 1").select("hash", "first", "n")), met(cards)
+    meetings = met(cards)
     drop_kept(cards)
     release_shuffles(spark)
     few, many = meetings.filter(F.col("size") <= SMALL), meetings.filter(F.col("size") > SMALL)
@@ -294,7 +301,7 @@ def groups(raw: DataFrame, cards: DataFrame, met: Callable[[DataFrame], DataFram
     return rooted.select("hash", F.coalesce("component", "hash").alias("group"), "first")
 
 
-def alike_lines(raw: DataFrame, cards: DataFrame, whole: bool) -> DataFrame:
+def alike_lines(raw: DataFrame, nodes: DataFrame, cards: DataFrame, whole: bool) -> DataFrame:
     """hash, low: the lines that occur twice or link to another, with their group's first occurrence."""
     hold = lambda line: comparable(normalise(line), whole)
 
@@ -306,7 +313,7 @@ def alike_lines(raw: DataFrame, cards: DataFrame, whole: bool) -> DataFrame:
         return gap & (unlike <= F.when(shard < len(BANDS) << 32, UNLIKE[0]).when(shard < 2 * len(BANDS) << 32, UNLIKE[1]).otherwise(UNLIKE[2]))
 
     met = (lambda cards: met_in_bands(cards, len(BANDS))) if whole else met_in_blocks
-    found = keep(groups(raw, cards, met, near, hold, verified))
+    found = keep(groups(raw, nodes, cards, met, near, hold, verified))
     low = found.groupBy("group").agg(F.min("first").alias("low"))
     return found.join(low, "group").select("hash", "low")
 
@@ -320,14 +327,21 @@ def fuzzy_line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", who
     loses. An empty table stays empty. ``whole`` compares all lines that share a band, else those within RADIUS bits.
     """
     raw = raw_lines(df, key, text)
-    numbered = keep(banded_lines(raw) if whole else hashed_lines(raw))
+    if whole:
+        # a filter on the normal form would run it twice
+        places = keep(normal_lines(raw).select("doc_id", "line_no", F.when(F.col("norm") != "", F.xxhash64("norm")).alias("hash"))).filter("hash is not null")
+        cards = keep(banded_lines(raw))
+    else:
+        numbered = keep(hashed_lines(raw))
+        cards, places = keep(distinct_cards(numbered)), keep(numbered.select("doc_id", "line_no", "hash"))
+        drop_kept(numbered)
     release_shuffles(df.sparkSession)
-    cards, places = keep(distinct_cards(numbered)), keep(numbered.filter("kind <> 1").select("doc_id", "line_no", "hash"))
-    drop_kept(numbered)
+    nodes = keep(distinct_lines(places))
     release_shuffles(df.sparkSession)
-    drops = places.join(alike_lines(raw, cards, whole), "hash").filter(F.struct("doc_id", "line_no") != F.col("low"))
+    drops = places.join(alike_lines(raw, nodes, cards, whole), "hash").filter(F.struct("doc_id", "line_no") != F.col("low"))
     left = keep(drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")))
-    drop_kept(places)
+    for done in (places, nodes):
+        drop_kept(done)
     release_shuffles(df.sparkSession)
     own, lost, parts = unused(df, "id"), unused(df, "gone"), unused(df, "lines")
     joined = df.join(left.select(F.col("doc_id").alias(own), F.col("gone").alias(lost)), F.col(f"`{key}`") == F.col(own), "left")
