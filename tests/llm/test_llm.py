@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -639,3 +640,19 @@ def test_repeated_lines_are_sketched_once(spark):
     assert line_dedup.banded_lines(raw).groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 2").count() == 0
     got = {x.doc_id: x.text for x in line_dedup.fuzzy_line_dedup(table(spark, rows), whole=True).collect()}
     assert got[0] == rows[0][1] and all(line not in got[i].split("\n") for i in range(1, 12)) and got[20] == " \n\t" and got[21] is None
+
+
+def test_runs_cut_a_text_once(spark):
+    """The words of a text are found once, not for each of its runs."""
+    r = random.Random(47)
+    rows = [(0, ""), (1, "Ab  c"), (2, words(r, 90).upper()), (3, "a b c d e f a b c d e"), (4, words(r, 5))]
+    frame = similar.runs(spark.createDataFrame(rows, "node long, line string"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == plan.count("regexp_replace(") == 1 and plan.count("translate(") == 1
+    got = {x.node: x.runs for x in frame.collect()}
+    for i, t in rows:
+        w = t.lower().split()
+        assert len(got[i]) == len(set(got[i])) == len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    long = spark.createDataFrame([(0, words(r, 20_000))], "node long, line string")
+    began = time.time()
+    assert similar.runs(long).select(F.size("runs").alias("n")).first().n == 19_996 and time.time() - began < 20

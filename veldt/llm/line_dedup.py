@@ -248,12 +248,12 @@ def joined(named: DataFrame, more: DataFrame) -> DataFrame:
     return after
 
 
-def groups(raw: DataFrame, nodes: DataFrame, cards: DataFrame, met: Callable[[DataFrame], DataFrame], near: Near, hold: Callable[[Column], list[Column]], check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def groups(raw: DataFrame, nodes: DataFrame, cards: DataFrame, met: Callable[[DataFrame], DataFrame], near: Near, hold: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """hash, group, first: the lines that occur twice or link to another, what names their group, and where they occur first.
 
     raw: doc_id, line_no, line; nodes: hash, first, n; cards: a kept table of hash, kind and what met needs, dropped once
     read. met: shard, size, hash, sim of the nodes that meet; near: whether two sims of a shard are
-    near enough to compare; hold: what a comparison needs of a line; check: the pairs (a, b) of nodes that are alike.
+    near enough to compare; hold: node and what a comparison needs of (node, line); check: the pairs (a, b) of nodes that are alike.
     """
     spark = raw.sparkSession
     meetings = met(cards)
@@ -272,7 +272,7 @@ def groups(raw: DataFrame, nodes: DataFrame, cards: DataFrame, met: Callable[[Da
     stars = keep(close.union(led(many, many, 0)).distinct())
     wanted = stars.select(F.explode(F.array("a", "b")).alias("hash")).union(many.select("hash")).distinct()
     places = wanted.join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
-    held = keep(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), *hold(F.col("line"))).dropDuplicates(["node"]))
+    held = keep(hold(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), "line")).dropDuplicates(["node"]))
     release_shuffles(spark)
     named = keep(components(keep(check(stars, held))))
     for turn in range(1, PIVOTS + 1):
@@ -303,7 +303,7 @@ def groups(raw: DataFrame, nodes: DataFrame, cards: DataFrame, met: Callable[[Da
 
 def alike_lines(raw: DataFrame, nodes: DataFrame, cards: DataFrame, whole: bool) -> DataFrame:
     """hash, low: the lines that occur twice or link to another, with their group's first occurrence."""
-    hold = lambda line: comparable(normalise(line), whole)
+    hold = lambda lines: lines.select("node", *comparable(normalise(F.col("line")), whole))
 
     def near(a: Column, b: Column, shard: Column) -> Column:
         if not whole:
