@@ -656,3 +656,19 @@ def test_runs_cut_a_text_once(spark):
     long = spark.createDataFrame([(0, words(r, 20_000))], "node long, line string")
     began = time.time()
     assert similar.runs(long).select(F.size("runs").alias("n")).first().n == 19_996 and time.time() - began < 20
+
+
+def test_no_pair_of_lines_is_compared_twice(spark, monkeypatch):
+    """Pairs that were unlike in one turn, or in a small block, meet again in large ones but are not compared again."""
+    r, seen = random.Random(53), []
+    check = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, held: seen.extend(tuple(sorted(x)) for x in pairs.collect()) or check(pairs, held))
+    monkeypatch.setattr(line_dedup, "SMALL", 3)
+    base, rows = words(r, 60).split(" "), []
+    for k in range(40):
+        w = list(base)
+        for at in r.sample(range(60), r.randint(6, 16)):
+            w[at] = words(r, 1)
+        rows.append((k, " ".join(w)))
+    got = {x.doc_id for x in line_dedup.fuzzy_line_dedup(table(spark, rows), whole=True).filter("text <> ''").collect()}
+    assert len(seen) == len(set(seen)) >= 5 and 0 in got

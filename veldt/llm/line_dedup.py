@@ -269,12 +269,16 @@ def groups(raw: DataFrame, nodes: DataFrame, cards: DataFrame, met: Callable[[Da
         pivots = of.groupBy("shard").agg(F.min_by("hash", at).alias("pivot"), F.min_by("sim", at).alias("pivot_sim"))
         return lines.join(pivots, "shard").filter((F.col("hash") != F.col("pivot")) & near(F.col("sim"), F.col("pivot_sim"), F.col("shard"))).select(F.col("pivot").alias("a"), F.col("hash").alias("b"))
 
-    stars = keep(close.union(led(many, many, 0)).distinct())
+    def once(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    stars = keep(once(close.union(led(many, many, 0))))
     wanted = stars.select(F.explode(F.array("a", "b")).alias("hash")).union(many.select("hash")).distinct()
     places = wanted.join(nodes, "hash").select("hash", "first.doc_id", "first.line_no")
     held = keep(hold(places.hint("merge").join(raw, ["doc_id", "line_no"]).select(F.col("hash").alias("node"), "line")).dropDuplicates(["node"]))
     release_shuffles(spark)
     named = keep(components(keep(check(stars, held))))
+    tried = [stars]
     for turn in range(1, PIVOTS + 1):
         own = many.join(named, F.col("hash") == F.col("node"), "left").select("shard", "hash", "sim", F.coalesce("component", "hash").alias("own"))
         most = own.groupBy("shard", "own").count().groupBy("shard").agg(F.max_by("own", "count").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
@@ -289,12 +293,16 @@ def groups(raw: DataFrame, nodes: DataFrame, cards: DataFrame, met: Callable[[Da
             apart = (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & near(F.col("l_sim"), F.col("r_sim"), F.col("l_shard"))
             first = F.get(F.array_intersect("l_homes", "r_homes"), F.lit(0)) == F.col("l_shard")
             pairs = left.filter("l_out").join(right, (F.col("l_shard") == F.col("r_shard")) & apart & first).select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b"))
-        more = keep(check(pairs.distinct(), held))
+        fresh = once(pairs)
+        for before in tried:  # what was compared in an earlier turn and not alike is not compared again
+            fresh = fresh.join(before, ["a", "b"], "left_anti")
+        tried.append(keep(fresh))
+        more = keep(check(tried[-1], held))
         drop_kept(crowd)
         release_shuffles(spark)
         if not more.isEmpty():
             named = joined(named, more)
-    for done in (meetings, stars, held):
+    for done in (meetings, held, *tried):
         drop_kept(done)
     release_shuffles(spark)
     rooted = nodes.join(named, F.col("hash") == F.col("node"), "left").filter("component is not null or n > 1")
