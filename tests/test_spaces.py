@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -263,6 +264,43 @@ def test_applicability(spark):
     assert got[99].di is None and got[99].inside is None and not got[98].inside
 
 
+def test_mean_distance_is_over_every_pair(spark, monkeypatch):
+    """Rows beyond any 500 anchors count, at one place too, in any number of blocks; rows without a key do not."""
+    r = random.Random(15)
+    far = sorted(range(700), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[500:]
+    rows = [(i, 50 + r.random() if i in far else round(r.gauss(0, 1), 1), r.gauss(0, 3)) for i in range(700)] + [(700 + i, 1.0, 2.0) for i in range(9)] + [(None, 1e6, 0.0)]
+    z = np.array([x[1:] for x in rows[:-1]])
+    want = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1)).sum() / (len(z) * (len(z) - 1))
+    df = spark.createDataFrame(rows, "i long, z0 double, z1 double")
+    assert applicability.mean_distance(df, 2, "i") == pytest.approx(want, rel=1e-12)
+    monkeypatch.setattr(applicability, "LEAST", 100)
+    assert applicability.mean_distance(df, 2, "i") == pytest.approx(want, rel=1e-12)
+    monkeypatch.setattr(applicability, "TILE", (16, 32))
+    one = np.ones(len(z))
+    assert applicability.sum_of_distances(z.T, one, z.T, one) == pytest.approx(want * len(z) * (len(z) - 1), rel=1e-12)
+    assert applicability.mean_distance(df.filter("i < 1"), 2, "i") is None and applicability.mean_distance(df.limit(0), 2, "i") is None
+
+
+def test_area_of_applicability_by_every_pair(spark):
+    """di of new rows and the threshold follow training rows that no sample of 500 holds; the summary counts with them."""
+    r = random.Random(16)
+    far = set(sorted(range(600), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[500:])
+    train = [(i, 9.0 + r.random() if i in far else r.random(), i % 3) for i in range(600)]
+    t = np.array([x[1] for x in train])
+    zt = (t - t.mean()) / t.std(ddof=1)
+    d = np.abs(zt[:, None] - zt[None])
+    scale, fold = d.sum() / (600 * 599), np.array([x[2] for x in train])
+    own = np.where(fold[:, None] == fold[None], np.inf, d).min(1) / scale
+    q1, q3 = np.quantile(own, [0.25, 0.75])
+    limit = own[own <= q3 + 1.5 * (q3 - q1)].max()
+    new = [(i, r.uniform(-1, 11)) for i in range(40)]
+    di = {i: np.abs((v - t.mean()) / t.std(ddof=1) - zt).min() / scale for i, v in new}
+    aoa = applicability.area_of_applicability(spark.createDataFrame(train, "i long, a double, f int"), spark.createDataFrame(new, "i long, a double"), ["a"], "i", "f")
+    got = applicability.applicability_summary(aoa.withColumn("g", F.lit(1)), ["g"]).first()
+    assert got.valid_cells == 40 and got.inside_cells == sum(v <= limit for v in di.values()) and aoa.first().threshold == pytest.approx(limit)
+    assert got.di_mean == pytest.approx(np.mean(list(di.values()))) and got.di_max == pytest.approx(max(di.values()))
+
+
 def test_matched_folds(spark):
     """Clustered data and far places: matched folds are nearer to the task than hashed ones, and sound."""
     r = random.Random(11)

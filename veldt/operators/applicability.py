@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.operators import ranges
-from veldt.operators.nearest import far, nearest
+from veldt.operators.nearest import nearest
 from veldt.sources.shared import cut
 
-#: Training rows whose distances to all training rows give the mean distance (all of them, where there are fewer).
-ANCHORS = 500
+#: Places of a block, on average, at most; BLOCKS blocks keep tasks busy, where each has LEAST places at least.
+BLOCK, BLOCKS, LEAST = 1 << 17, 24, 1024
+#: Rows and columns of a distance matrix that a task holds at a time.
+TILE = (256, 512)
 #: Clusters that are dealt to folds by the driver, at most.
 MOST_CLUSTERS = 1024
 
@@ -35,11 +39,45 @@ def scaled(df: DataFrame, cols: list[str], by: list[tuple[float, float]], weight
     return df.withColumns({f"z{i}": (F.when(F.col(c).isNotNull(), (F.col(c) - m) / s * weight[c]) if s else F.when(F.col(c).isNotNull(), F.lit(0.0))) for i, (c, (m, s)) in enumerate(zip(cols, by, strict=True))})
 
 
-def mean_distance(z: DataFrame, dims: int, key: str, anchors: int = ANCHORS) -> float:
-    """The mean distance between the anchors, chosen by the md5 of their key, and every other row."""
-    chosen = z.orderBy(F.md5(F.col(key).cast("string"))).limit(anchors).select(F.col(key).alias("__a"), *[F.col(f"z{i}").alias(f"a{i}") for i in range(dims)])
-    rows = z.select(F.col(key).alias("__b"), *[F.col(f"z{i}").alias(f"b{i}") for i in range(dims)])
-    return rows.join(F.broadcast(chosen), F.col("__a") != F.col("__b")).agg(F.avg(far("a", "b", dims))).first()[0]
+def sum_of_distances(x: np.ndarray, xn: np.ndarray, y: np.ndarray, yn: np.ndarray) -> float:
+    """The sum of the distances from each place of x to each of y, counted xn times yn; places are columns, a TILE is held at a time."""
+    total, held = 0.0, np.empty((2, *TILE))
+    for i in range(0, x.shape[1], TILE[0]):
+        a, an = x[:, i : i + TILE[0], None], xn[i : i + TILE[0]]
+        for j in range(0, y.shape[1], TILE[1]):
+            b, bn = y[:, None, j : j + TILE[1]], yn[j : j + TILE[1]]
+            d, gap = held[:, : len(an), : len(bn)]
+            d.fill(0.0)
+            for p, q in zip(a, b, strict=True):
+                np.subtract(p, q, out=gap)
+                np.multiply(gap, gap, out=gap)
+                d += gap
+            total += float(an @ (np.sqrt(d, out=d) @ bn))
+    return total
+
+
+def mean_distance(z: DataFrame, dims: int, key: str) -> float | None:
+    """The mean distance between every two rows of z with a key; null if there are fewer than two.
+
+    All pairs count, so that the work grows with the square of the distinct places. These are dealt to blocks of a bounded size,
+    each pair of blocks is compared once in a task of its own, and only sums leave it.
+    """
+    zs = [f"z{i}" for i in range(dims)]
+    places = cut(z.filter(F.col(key).isNotNull()).groupBy(*zs).agg(F.count(F.lit(1)).alias("n")))
+    rows, rows_in_all = places.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if (rows_in_all or 0) < 2:
+        return None
+    blocks = max(-(-rows // BLOCK), min(BLOCKS, -(-rows // LEAST)))
+    dealt = places.select(*zs, "n", F.pmod(F.xxhash64(*zs), F.lit(blocks)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+
+    def compare(pair: tuple[int, int], held: pd.DataFrame) -> pd.DataFrame:
+        x, y = (held[held["own"] == b] for b in pair)
+        s = sum_of_distances(*[part for p in (x, y) for part in (p[zs].to_numpy(float).T.copy(), p["n"].to_numpy(float))])
+        return pd.DataFrame({"s": [s if pair[0] == pair[1] else 2 * s]})
+
+    met = dealt.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).repartition(blocks * (blocks + 1) // 2, "i", "j")
+    total = met.groupBy("i", "j").applyInPandas(compare, "s double").agg(F.sum("s")).first()[0]
+    return total / (rows_in_all * (rows_in_all - 1))
 
 
 def whisker(di: DataFrame, value: str = "di") -> float:
@@ -48,18 +86,18 @@ def whisker(di: DataFrame, value: str = "di") -> float:
     return di.filter(F.col(value) <= q[0.75] + 1.5 * (q[0.75] - q[0.25])).agg(F.max(value)).first()[0]
 
 
-def area_of_applicability(train: DataFrame, new: DataFrame, cols: list[str], key: str, fold: str, weight: dict[str, float] | None = None, anchors: int = ANCHORS) -> DataFrame:
+def area_of_applicability(train: DataFrame, new: DataFrame, cols: list[str], key: str, fold: str, weight: dict[str, float] | None = None) -> DataFrame:
     """new with di, threshold and inside.
 
     di: distance to the nearest training row in the standardised, weighted predictors, over the mean distance between
-    training rows. threshold: the whisker of the training rows' own di, each taken from the other folds. Rows with a
+    every two training rows. threshold: the whisker of the training rows' own di, each taken from the other folds. Rows with a
     missing predictor have null di and inside. Training rows with one take no part.
     """
     weight = weight or dict.fromkeys(cols, 1.0)
     by, zs = scaling(train, cols), [f"z{i}" for i in range(len(cols))]
     whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cols])
     tz = cut(scaled(train.filter(whole), cols, by, weight).select(F.col(key).alias("__id"), F.col(fold).alias("__fold"), *zs))
-    mean = mean_distance(tz, len(cols), "__id", anchors)
+    mean = mean_distance(tz, len(cols), "__id")
     own = cut(nearest(tz, tz, zs, "__id", "__fold").select((F.col("distance") / mean).alias("di")).filter("di is not null"))
     limit = whisker(own)
     found = nearest(scaled(new, cols, by, weight), tz, zs, "__id").withColumn("di", F.col("distance") / mean)

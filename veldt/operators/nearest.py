@@ -31,12 +31,6 @@ MATRIX = 1 << 20
 SLACK = 1e-9
 
 
-def far(a: str, b: str, dims: int) -> Column:
-    """Euclidean distance of columns a0.. and b0.., summed in order."""
-    terms = [(F.col(f"{a}{i}") - F.col(f"{b}{i}")) * (F.col(f"{a}{i}") - F.col(f"{b}{i}")) for i in range(dims)]
-    return F.sqrt(reduce(lambda x, y: x + y, terms))
-
-
 def _places(df: DataFrame, cols: list[str], to: str, group: str | None, name: str | None = None) -> DataFrame:
     """One row a place (and group) with finite coordinates: to0 .., g, and the least ``name``."""
     xs = [F.col(c).cast("double").alias(f"{to}{i}") for i, c in enumerate(cols)]
