@@ -177,3 +177,12 @@ def test_observation_bootstrap(spark):
     assert all(abs(got[k].low - again[k].low) < 1e-9 for k in got)
     few = summarised(observation_bootstrap(frame, "plot", "y", ["p1", "p2", "p3"], reps=99)).filter("name = 'p1'").first()
     assert few.low is None and few.estimate is not None
+
+
+def test_patches_of_many_rounds_keep_a_small_plan(spark):
+    """Each round starts from files: what Spark takes the labels' size to be stays near their size, however many rounds there were."""
+    rows = range(9)
+    path = [(r, c) for r in rows for c in (rows if r % 2 == 0 else [8 if r % 4 == 1 else 0])] + [(20, 20), (21, 21)]
+    got = spatial.patches(spark.createDataFrame(path, "row int, col int"))
+    assert {(x.row, x.col): x.patch for x in got.collect()} == {(r, c): "20_20" if r > 9 else "0_0" for r, c in path}
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 20

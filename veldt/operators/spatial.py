@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.sources.shared import cut
+from veldt.sources.shared import stored
 
 #: (dr, dc) of the kernels.
 ROOK = ((-1, 0), (1, 0), (0, -1), (0, 1))
@@ -66,15 +66,16 @@ def patches(mask: DataFrame, rounds: int = 64) -> DataFrame:
     """row, col, patch: 8-connected components of the cells given, each named by its least (row, col).
 
     Labels fall to the least of the neighbourhood and then jump to their label's label, which halves what is
-    left; each round is checkpointed to the shared folder, and the loop ends when no label changes.
+    left; each round is stored in the shared folder, and the loop ends when no label changes. Cells are sorted and merged:
+    their files are far smaller than the cells, and would be broadcast for it.
     """
     cells = mask.select("row", "col", F.struct("row", "col").alias("v"))
-    now = cut(cells)
+    now = stored(cells)
     for _ in range(rounds):
-        low = neighbours(now, QUEEN).groupBy("row", "col").agg(F.min("nv").alias("m"))
+        low = neighbours(now.hint("merge"), QUEEN).groupBy("row", "col").agg(F.min("nv").alias("m"))
         met = now.join(low, ["row", "col"], "left").select("row", "col", "v", F.least("v", F.coalesce("m", "v")).alias("u"))
         jump = met.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("u").alias("w"))
-        after = cut(met.join(jump, (F.col("u.row") == F.col("r")) & (F.col("u.col") == F.col("c"))).select("row", "col", F.col("v").alias("old"), F.least("u", "w").alias("v")))
+        after = stored(met.join(jump.hint("merge"), (F.col("u.row") == F.col("r")) & (F.col("u.col") == F.col("c"))).select("row", "col", F.col("v").alias("old"), F.least("u", "w").alias("v")))
         changed = after.filter("old <> v").limit(1).count()
         now = after.select("row", "col", "v")
         if not changed:
