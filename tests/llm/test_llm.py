@@ -672,3 +672,35 @@ def test_no_pair_of_lines_is_compared_twice(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     got = {x.doc_id for x in line_dedup.fuzzy_line_dedup(table(spark, rows), whole=True).filter("text <> ''").collect()}
     assert len(seen) == len(set(seen)) >= 5 and 0 in got
+
+
+def test_near_duplicates_that_no_band_brings_together(spark):
+    """Texts of similarity 0.8 that share none of 128 bands are still one group, and so is every pair of sets of that similarity."""
+    import corpus_pipeline
+
+    pairs = [("edf ca beb cdd hgbeaf cd fagdeb ece", "dcccfe"), ("hgegc gdag bac efabd ade ahaa gddg abhdd", "eg")]
+    sets = [[np.unique(np.concatenate(list(simhash.shingle_hashes(t, 5)))) for t in (a, f"{a} {b}")] for a, b in pairs]
+    assert not any((similar.surest(x)[0] == similar.surest(x)[1]).any() for x in sets)
+    rows = [(2 * k + j, a if j == 0 else f"{a} {b}") for k, (a, b) in enumerate(pairs) for j in (0, 1)]
+    assert {x.doc_id for x in corpus_pipeline.near_duplicate_stage(spark, table(spark, rows), "").collect()} == {0, 2}
+    r = np.random.default_rng(8)
+    counts = r.integers(0, 5, similar.COUNTERS).astype(np.int32)
+    for same, own in ((0, 1), (1, 0), (4, 1), (5, 1), (8, 2), (16, 4), (40, 10), (41, 10), (400, 100)):
+        for _ in range(50):
+            h = r.integers(-(1 << 62), 1 << 62, same + own)
+            for a, b in ((h, h[:same]), (h[: same + own // 2], np.concatenate([h[:same], h[same + own // 2 :]]))):
+                if len(np.union1d(a, b)) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                    assert set(similar.first_shingles(a, counts)) & set(similar.first_shingles(b, counts))
+
+
+def test_near_duplicate_stage_judges_every_row(spark):
+    """A near copy goes though its id has another text that stays; of repeated rows one stays; rows without an id are compared with each other."""
+    import corpus_pipeline
+
+    r = random.Random(61)
+    one, two, three = (words(r, 60) for _ in range(3))
+    rows = [(1, one), (2, one + " end"), (2, two), (3, three), (3, three), (None, one), (None, one + " end"), (None, None), (None, ""), (4, None)]
+    got = corpus_pipeline.near_duplicate_stage(spark, table(spark, rows), "").collect()
+    assert sorted((x.doc_id, x.text) for x in got if x.doc_id is not None) == [(1, one), (2, two), (3, three), (4, None)]
+    none = [x.text or "" for x in got if x.doc_id is None]
+    assert len(none) == 2 and "" in none and one in none[0] + none[1]
