@@ -286,12 +286,12 @@ def groups(raw: DataFrame, nodes: DataFrame, cards: DataFrame, met: Callable[[Da
         if turn < PIVOTS:
             pairs = led(crowd.filter("out"), crowd.filter("not out"), turn)
         else:  # what no pivot has joined meets all others of its shard
-            # a pair meets in the first only of the shards that both stand in
-            homes = crowd.groupBy("hash").agg(F.array_sort(F.collect_set("shard")).alias("homes"))
+            # a pair meets in the first only of the shards that both stand in; those below 0 may be very many to a node, and are no homes
+            homes = crowd.groupBy("hash").agg(F.array_sort(F.collect_set(F.when(F.col("shard") >= 0, F.col("shard")))).alias("homes"))
             placed = keep(crowd.join(homes, "hash"))
             left, right = (placed.select(*[F.col(c).alias(f"{x}_{c}") for c in placed.columns]) for x in "lr")
             apart = (F.col("l_own") != F.col("r_own")) & (~F.col("r_out") | (F.col("l_hash") < F.col("r_hash"))) & near(F.col("l_sim"), F.col("r_sim"), F.col("l_shard"))
-            first = F.get(F.array_intersect("l_homes", "r_homes"), F.lit(0)) == F.col("l_shard")
+            first = (F.col("l_shard") < 0) | (F.get(F.array_intersect("l_homes", "r_homes"), F.lit(0)) == F.col("l_shard"))
             pairs = left.filter("l_out").join(right, (F.col("l_shard") == F.col("r_shard")) & apart & first).select(F.col("l_hash").alias("a"), F.col("r_hash").alias("b"))
         fresh = once(pairs)
         for before in tried:  # what was compared in an earlier turn and not alike is not compared again
